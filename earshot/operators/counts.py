@@ -148,7 +148,10 @@ def feature_polarity(counts: DataFrame) -> DataFrame:
 
 # ---- choosing rows ----------------------------------------------------------------
 
-ORD_BITS = 55  # sequence numbers are below 2**55, scores are packed above them
+ORD_BITS = 54  # sequence numbers are below 2**54, scores (9 bits) are packed above them
+
+
+AHA_SCORES, RANK_SCORES = 10, 13  # aha scores are 0..9, rank scores 0..12
 
 
 def packed(high: Column, ord_col: Column) -> Column:
@@ -182,9 +185,9 @@ def representatives(tagged: DataFrame, by: str = "scene") -> DataFrame:
     The winner is found as a packed number by hash aggregation; its wide row is
     fetched by sequence number afterwards.
     """
-    score = T.add(image_score() * 256, F.col("aha_score") * 16, F.col("rank_score"))
+    score = (image_score() * AHA_SCORES + F.col("aha_score")) * RANK_SCORES + F.col("rank_score")
     best = tagged.groupBy(by).agg(F.max(packed(score, F.col("ord"))).alias("_best"))
-    # undo the packing: ord = -best modulo 2**55
+    # undo the packing: ord = -best modulo 2**ORD_BITS
     winners = best.select(F.pmod(-F.col("_best"), F.lit(1 << ORD_BITS)).alias("ord"))
     return tagged.join(F.broadcast(winners), "ord", "left_semi")  # one row per label
 
@@ -192,7 +195,7 @@ def representatives(tagged: DataFrame, by: str = "scene") -> DataFrame:
 def evidence(tagged: DataFrame, k: int = 3, limit: int = 100, shortest: int = 18) -> DataFrame:
     """Up to ``k`` different comments per need, best ranked first."""
     text = T.shorten(T.collapse(T.first_filled("translated_comment", "cleaned_comment", "raw_comment")), limit)
-    worth = T.add(F.col("rank_score") * 16, F.col("aha_score"))
+    worth = F.col("rank_score") * AHA_SCORES + F.col("aha_score")
     d = tagged.select("need", "ord", text.alias("text"), packed(worth, F.col("ord")).alias("_p")).filter(F.length("text") >= shortest)
     distinct = d.groupBy("need", F.sha2(F.lower("text"), 256).alias("_k")).agg(F.max("_p").alias("_p"))
     # the rank limit is applied map-side before the shuffle by need

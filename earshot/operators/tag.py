@@ -137,24 +137,24 @@ def signal(viewpoint_col: Column, polarity_col: Column) -> Column:
     )
 
 
-def aha(hits: Column, key_length: Column, images: Column, v: Column, s: Column, p: Column, sc: Column, n: Column, pack=VP) -> Column:
-    """``struct<label, score, relation, originality>``; two gates, then points."""
+def aha_closed(v: Column, s: Column, p: Column) -> Column:
+    """The two gates behind which a comment gets no points."""
+    return ((p == "负向") & ~v.isin("建议", "对比")) | (~s.isin("喜欢什么", "合理增配") & (v != "对比"))
+
+
+def aha_points(hits: Column, key_length: Column, images: Column, v: Column, sc: Column, n: Column, pack=VP) -> Column:
     def point(condition, points=1):
         return F.when(condition, points).otherwise(0)
 
-    closed = ((p == "负向") & ~v.isin("建议", "对比")) | (~s.isin("喜欢什么", "合理增配") & (v != "对比"))
-    score = F.when(closed, 0).otherwise(
-        T.add(
-            point(hit(hits, pack.STRONG_POSITIVE), 2),
-            point(hit(hits, pack.AHA_PHRASES), 2),
-            point(sc != pack.SCENE_DEFAULT),
-            point(n.isin(*pack.AHA_NEEDS)),
-            point(v.isin("对比", "建议")),
-            point(images > 0),
-            point(key_length >= 50),
-        )
+    return T.add(
+        point(hit(hits, pack.STRONG_POSITIVE), 2),
+        point(hit(hits, pack.AHA_PHRASES), 2),
+        point(sc != pack.SCENE_DEFAULT),
+        point(n.isin(*pack.AHA_NEEDS)),
+        point(v.isin("对比", "建议")),
+        point(images > 0),
+        point(key_length >= 50),
     )
-    return F.struct(score.alias("score"), closed.alias("closed"))
 
 
 def ranking_score(v: Column, p: Column, i: Column, images: Column, key_length: Column, pack=VP) -> Column:
@@ -219,6 +219,16 @@ def with_hits(df: DataFrame, pack=VP) -> DataFrame:
     return d.withColumn("_context_hits", F.array_union("_hits", "_lead_hits"))
 
 
+def settle_labels(df: DataFrame, names: list[str]) -> DataFrame:
+    """Keep the optimizer from copying label rules into later filters.
+
+    A filter on a label would otherwise be moved below the rules with all their
+    inputs written out, again and again; rows produced by a generator stay a border.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def tag(df: DataFrame, pack=VP) -> DataFrame:
     """All label layers for the valid rows of a cleaned review table."""
     c = F.col
@@ -228,7 +238,7 @@ def tag(df: DataFrame, pack=VP) -> DataFrame:
         viewpoint(c("_hits"), c("_key_length"), c("_rating"), pack).alias("viewpoint"),
         feature(c("_hits"), c("_source_hits"), c("_context_hits"), pack).alias("feature"),
         scene(c("_context_hits"), pack).alias("scene"),
-        *[e.alias(n) for e, n in zip(emotion_scores(c("_hits"), c("_rating"), pack), ("_pos", "_neg"))],
+        *[e.alias(n) for n, e in zip(("_pos", "_neg"), emotion_scores(c("_hits"), c("_rating"), pack))],
     )
     need_hits = F.when(c("_text") != "", c("_hits")).otherwise(c("_context_hits"))
     d = d.select(
@@ -243,26 +253,26 @@ def tag(df: DataFrame, pack=VP) -> DataFrame:
         signal(c("viewpoint"), c("polarity")).alias("signal"),
         emotion(c("_hits"), c("polarity"), c("intensity"), c("viewpoint"), c("feature"), pack).alias("emotion"),
     )
+    closed = aha_closed(c("viewpoint"), c("signal"), c("polarity"))
     d = d.select(
-        "*",
+        *df.columns, "viewpoint", "feature", "scene", "secondary_need", "need", "polarity", "intensity", "signal", "emotion",
         trigger(c("emotion"), c("feature")).alias("trigger"),
-        aha(c("_hits"), c("_key_length"), c("_images"), c("viewpoint"), c("signal"), c("polarity"), c("scene"), c("need"), pack).alias("_aha"),
+        closed.alias("_closed"),
+        F.when(closed, 0).otherwise(
+            aha_points(c("_hits"), c("_key_length"), c("_images"), c("viewpoint"), c("scene"), c("need"), pack)
+        ).alias("aha_score"),
         ranking_score(c("viewpoint"), c("polarity"), c("intensity"), c("_images"), c("_key_length"), pack).alias("rank_score"),
     )
-    score, closed = c("_aha.score"), c("_aha.closed")
-    chance = opportunity(c("signal"), c("feature"), c("need"), c("scene"))
-    card = scene_card(c("scene"), c("feature"), c("need"), pack)
-    d = d.select(
-        "*",
-        *[e.alias(n) for n, e in card.items()],
-        F.when(score >= 4, "是").otherwise("否").alias("aha"),
-        score.alias("aha_score"),
-        F.when(score >= 6, "高").when(score >= 4, "中").otherwise("低").alias("relation"),
-        F.when(closed, "低").when((score >= 7) | c("need").isin(*pack.ORIGINAL_NEEDS), "高")
-        .when(score >= 4, "中").otherwise("低").alias("originality"),
-        *[e.alias(n) for n, e in chance.items()],
-    )
-    d = d.withColumn("analysis", F.concat_ws(" ", "pain", "hint"))
+    d = settle_labels(d, [n for n in d.columns if n not in df.columns])
+    score = c("aha_score")
+    texts = scene_card(c("scene"), c("feature"), c("need"), pack) | opportunity(c("signal"), c("feature"), c("need"), c("scene"))
+    d = d.withColumns({
+        "aha": F.when(score >= 4, "是").otherwise("否"),
+        "relation": F.when(score >= 6, "高").when(score >= 4, "中").otherwise("低"),
+        "originality": F.when(c("_closed"), "低").when((score >= 7) | c("need").isin(*pack.ORIGINAL_NEEDS), "高")
+        .when(score >= 4, "中").otherwise("低"),
+        **texts, "analysis": F.concat_ws(" ", texts["pain"], texts["hint"]),
+    })
     return d.select(*df.columns, *LAYER_COLUMNS)
 
 

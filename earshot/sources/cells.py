@@ -20,7 +20,7 @@ GRID = "workbook string, sheet string, sheet_idx int, row int, col int, value st
 SHEET = ["workbook", "sheet"]
 MISSING = "未提供"
 
-# ord = workbook rank (15 bits), sheet index (10 bits), row (30 bits)
+# ord = workbook rank (14 bits), sheet index (10 bits), row (30 bits)
 SHEET_BITS, ROW_BITS = 10, 30
 
 
