@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from earshot.functions import text as T
 from earshot.functions.rules import contains_any
+from earshot.operators.skew import border
 from earshot.packs import returns as RP
 
 LEVELS = ("level_1", "level_2", "level_3", "level_4")
@@ -51,18 +52,21 @@ def tag_chain(df: DataFrame, comment: str = "cleaned_comment", pack=RP) -> DataF
     The first rule in priority order that finds a keyword decides; a remark without
     any is marked for a person to decide.  Rows that carry a label keep all levels.
     """
-    t = T.normalize(comment)
-    chain = None
-    for *levels, keywords in pack.CHAIN_RULES:
-        value = F.expr("array(" + ", ".join(map(T.quoted, levels)) + ")")
-        test = contains_any(F.col("_t"), keywords)
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
     unsure = F.array(F.lit(pack.UNSURE_LABEL), F.lit(""), F.lit(""), F.lit(pack.UNSURE_CAUSE))
-    d = df.withColumn("_t", t).withColumn("_chain", chain.otherwise(unsure))
-    labelled = ~T.blank("level_1")
-    return d.withColumns({
-        n: F.when(labelled, T.text_of(n)).otherwise(F.col("_chain")[i]) for i, n in enumerate(LEVELS)
-    }).drop("_t", "_chain")
+
+    def decide(t):
+        rules = [
+            F.when(contains_any(t, ks), F.expr("array(" + ", ".join(map(T.quoted, levels)) + ")"))
+            for *levels, ks in pack.CHAIN_RULES
+        ]
+        return F.coalesce(*rules, unsure)
+
+    given = F.array(*[T.text_of(n) for n in LEVELS])
+    chosen = F.when(T.blank("level_1"), T.let(T.normalize(comment), decide)).otherwise(given)
+    d = df.withColumn("_chain", chosen)
+    rest = [c for c in df.columns if c not in LEVELS]
+    d = d.select(*rest, *[F.col("_chain")[i].alias(n) for i, n in enumerate(LEVELS)])
+    return border(d, list(LEVELS)).select(*df.columns)
 
 
 def flag_risks(df: DataFrame, pack=RP) -> DataFrame:

@@ -54,6 +54,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def border(df: DataFrame, names: list[str]) -> DataFrame:
+    """Keep the optimizer from copying the rules of labels into later filters.
+
+    A filter on a label would otherwise be moved below the rules with all their
+    inputs written out, again and again; rows produced by a generator stay a border.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def number_by(df: DataFrame, levels: list[Column], ord_col: str, out: str) -> DataFrame:
     """Global row number by small-integer ``levels``, then by the unique ``ord_col``.
 

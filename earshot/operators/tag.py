@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from earshot.functions import text as T
 from earshot.functions.rules import KeywordIndex, first_label, hit, hit_count, keywords_of
+from earshot.operators.skew import border
 from earshot.packs import reviews as VP
 
 LAYER_COLUMNS = tuple(VP.TAG_HEADINGS)
@@ -219,16 +220,6 @@ def with_hits(df: DataFrame, pack=VP) -> DataFrame:
     return d.withColumn("_context_hits", F.array_union("_hits", "_lead_hits"))
 
 
-def settle_labels(df: DataFrame, names: list[str]) -> DataFrame:
-    """Keep the optimizer from copying label rules into later filters.
-
-    A filter on a label would otherwise be moved below the rules with all their
-    inputs written out, again and again; rows produced by a generator stay a border.
-    """
-    rest = [c for c in df.columns if c not in names]
-    return df.select(*rest, F.inline(F.array(F.struct(*names))))
-
-
 def tag(df: DataFrame, pack=VP) -> DataFrame:
     """All label layers for the valid rows of a cleaned review table."""
     c = F.col
@@ -263,7 +254,7 @@ def tag(df: DataFrame, pack=VP) -> DataFrame:
         ).alias("aha_score"),
         ranking_score(c("viewpoint"), c("polarity"), c("intensity"), c("_images"), c("_key_length"), pack).alias("rank_score"),
     )
-    d = settle_labels(d, [n for n in d.columns if n not in df.columns])
+    d = border(d, [n for n in d.columns if n not in df.columns])
     score = c("aha_score")
     texts = scene_card(c("scene"), c("feature"), c("need"), pack) | opportunity(c("signal"), c("feature"), c("need"), c("scene"))
     d = d.withColumns({

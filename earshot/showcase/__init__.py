@@ -1,5 +1,5 @@
 """Queries over the given tables, registered with their checks."""
 
-from earshot.showcase import reviews
+from earshot.showcase import listings, returns, reviews, threads
 
-MODULES = (reviews,)
+MODULES = (reviews, returns, listings, threads)
