@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from earshot.functions import text as T
 from earshot.operators.clean import filter_focus, is_invalid_feedback
 from earshot.operators.returns import is_quality_risk, is_user_reason, severity
-from earshot.operators.skew import spread_join
+from earshot.operators.skew import settle, spread_join
 from earshot.packs import headers as H, returns as RP
 
 GRID = "workbook string, sheet string, sheet_idx int, row int, col int, value string"
@@ -253,14 +253,18 @@ REVIEW_FIELDS = [s for s in H.REVIEW_ALIASES if s != "image_count"]
 
 def product_lookup(grid: DataFrame, pack: HeaderPack = REVIEW_HEADERS) -> DataFrame:
     """(kind, key) -> image and link of the first row that carries it."""
-    profile = review_profile(grid, pack).filter(
+    return _lookup(grid, settle(review_profile(grid, pack)))
+
+
+def _lookup(grid: DataFrame, profile: DataFrame) -> DataFrame:
+    profile = profile.filter(
         F.map_contains_key("column_map", F.lit("product_image")) | F.map_contains_key("column_map", F.lit("product_link"))
     )
     kinds = ("asin", "product_name", "scene_name", "keyword_source")
     rows = project_rows(grid, profile, [*kinds, "product_image", "product_link"]).filter(
         (F.col("product_image") != "") | (F.col("product_link") != "")
     )
-    return lookup_from_rows(rows, kinds)
+    return lookup_from_rows(settle(rows), kinds)
 
 
 def lookup_from_rows(rows: DataFrame, kinds=("asin", "product_name", "scene_name", "keyword_source")) -> DataFrame:
@@ -297,8 +301,13 @@ def fill_products(rows: DataFrame, lookup: DataFrame, kinds=("asin", "product_na
 
 
 def collect_reviews(grid: DataFrame, focus: str | None = None, sheet: str | None = None, pack: HeaderPack = REVIEW_HEADERS) -> DataFrame:
-    """Review records of all candidate sheets."""
-    profile = review_profile(grid, pack).filter("candidate")
+    """Review records of all candidate sheets.
+
+    The sheet profiles (one small row per sheet) and the mapped rows are stored on the
+    way, because the product lookup reads them again.
+    """
+    profiles = settle(review_profile(grid, pack))
+    profile = profiles.filter("candidate")
     if sheet:
         profile = profile.filter(F.col("sheet") == sheet)
     rows = project_rows(grid, profile, REVIEW_FIELDS)
@@ -311,13 +320,13 @@ def collect_reviews(grid: DataFrame, focus: str | None = None, sheet: str | None
         .withColumn("cleaned_comment", T.review_text("translated_title", "translated_comment", "raw_title", "raw_comment"))
         .drop("column_map")
     )
-    return filter_focus(fill_products(rows, product_lookup(grid, pack)), focus)
+    return filter_focus(fill_products(settle(rows), _lookup(grid, profiles)), focus)
 
 
 def collect_feedback(grid: DataFrame, product: str, sheet: str | None = None, pack: HeaderPack = RETURN_HEADERS) -> DataFrame:
     """Return and after-sales records of one product."""
     target = product_name(F.lit(product))
-    profile = return_profile(grid, pack).filter("candidate AND has_text")
+    profile = settle(return_profile(grid, pack)).filter("candidate AND has_text")
     if sheet:
         profile = profile.filter(F.col("sheet") == sheet)
     by_name = F.array_contains(F.array_union("sheet_products", "workbook_products"), target) | F.contains(
@@ -372,7 +381,8 @@ def feedback_fields(df: DataFrame) -> DataFrame:
 
 def focus_candidates(grid: DataFrame, pack: HeaderPack = REVIEW_HEADERS, rows: int = 120, top: int = 20) -> DataFrame:
     """Most frequent product, scene and keyword values near the top of each sheet."""
-    profile = review_profile(grid, pack).filter("candidate").join(sheet_order(review_profile(grid, pack)), "workbook")
+    profiles = settle(review_profile(grid, pack))
+    profile = profiles.filter("candidate").join(sheet_order(profiles), "workbook")
     names = ("product_name", "scene_name", "keyword_source")
     entries = profile.select(*SHEET, "book", "sheet_idx", "header_row", F.explode("column_map").alias("semantic", "col"))
     entries = entries.filter(F.col("semantic").isin(*names))
@@ -393,7 +403,8 @@ def focus_candidates(grid: DataFrame, pack: HeaderPack = REVIEW_HEADERS, rows: i
 
 def product_candidates(grid: DataFrame, pack: HeaderPack = RETURN_HEADERS, rows: int = 200) -> DataFrame:
     """Model codes by where they are seen: workbook name, sheet names, product columns."""
-    profile = return_profile(grid, pack).join(sheet_order(return_profile(grid, pack)), "workbook")
+    profiles = settle(return_profile(grid, pack))
+    profile = profiles.join(sheet_order(profiles), "workbook")
 
     def rank(stage, sheet_idx, freq, pos):
         return F.struct(F.col("book"), sheet_idx.cast("int").alias("s"), F.lit(stage).alias("stage"), (-freq).cast("bigint").alias("freq"), pos.cast("bigint").alias("pos"))

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from earshot.functions import text as T
 from earshot.functions.rules import contains_any
 
+# the helpers that run in tasks are shipped with the job; executors need no install
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # ---- fixed values: page states ------------------------------------------------------
 
 CHALLENGE_TEXTS = ("Checking your browser", "Just a moment")
