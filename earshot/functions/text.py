@@ -15,6 +15,8 @@ from pyspark.sql import Column, functions as F
 SPACE = (
     r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# the same characters for trimming, which only looks at the ends of a text
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NON_KEY = r"[^0-9a-z\x{4e00}-\x{9fff}]+"
 NUMBER = r"(\d+(?:\.\d+)?)"
 
@@ -57,7 +59,7 @@ def first_filled(*cs) -> Column:
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(text_of(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text_of(c), F.lit(SPACES))
 
 
 def collapse(c) -> Column:

@@ -73,10 +73,17 @@ THEMES = ("", "", "", "模拟切换器", "Audio Hub 方案", "数字切换器",
 SCENES = ("", "", "living room", "", "办公", "", "")
 
 DOC_BASE = 10**12
+HEAVY = ("documents", "events", "pages", "conversations")  # tables with texts to work on
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one that lies in fewer pieces than there are cores is spread.
+
+    A table of many files is read as it is, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < cores else df
 
 
 def pick(words, index: Column) -> Column:
