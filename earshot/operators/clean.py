@@ -9,22 +9,30 @@ from earshot.functions.rules import contains_any
 from earshot.packs import returns as RP, reviews as VP
 
 DUPLICATE = "duplicate"
+KEY_CHAR, NO_KEY_CHAR = r"[0-9a-z\x{4e00}-\x{9fff}]", r"[^0-9a-z\x{4e00}-\x{9fff}]"
 
 
 # ---- predicates --------------------------------------------------------------
 
-# each on the normalised text ``t`` or the comparison key ``k`` of a comment
+# each on the normalised text ``t`` of a comment
 
 def is_empty(t: Column, pack=VP) -> Column:
     return t.isin(*pack.EMPTY_MARKERS)
 
 
-def is_symbols_only(t: Column, k: Column) -> Column:
-    return (t != "") & (k == "")
+def is_symbols_only(t: Column) -> Column:
+    return (t != "") & ~t.rlike(KEY_CHAR)
 
 
-def is_low_information(k: Column, pack=VP) -> Column:
-    return k.isin("", *pack.FILLERS)
+def is_low_information(t: Column, pack=VP) -> Column:
+    """Nothing but a filler word, whatever stands around its letters.
+
+    The key is only built for texts with fewer key characters than the longest
+    filler; the pattern that tells them apart stops early in a long text.
+    """
+    longest = max(map(len, pack.FILLERS))
+    long = t.rlike(f"(?:{KEY_CHAR}{NO_KEY_CHAR}*+){{{longest + 1}}}")
+    return ~t.rlike(KEY_CHAR) | F.when(long, False).otherwise(T.key(t).isin(*pack.FILLERS))
 
 
 def is_spam(t: Column, pack=VP) -> Column:
@@ -38,14 +46,14 @@ def is_service_only(t: Column, pack=VP) -> Column:
 def drop_reason(c, pack=VP) -> Column:
     """First reason that applies to a comment, else the empty text."""
     def decide(t):
-        return T.let(T.key(t), lambda k: (
+        return (
             F.when(is_empty(t, pack), "empty_or_na")
-            .when(is_symbols_only(t, k), "emoji_or_punctuation_only")
-            .when(is_low_information(k, pack), "low_information")
+            .when(is_symbols_only(t), "emoji_or_punctuation_only")
+            .when(is_low_information(t, pack), "low_information")
             .when(is_spam(t, pack), "spam_or_ad")
             .when(is_service_only(t, pack), "logistics_or_seller_only")
             .otherwise("")
-        ))
+        )
     return T.let(T.normalize(c), decide)
 
 
