@@ -264,7 +264,7 @@ _pair("count_feature_scene", "feature", "scene")
 
 @query("share_feature_viewpoint", TAGGED + f" SELECT feature, viewpoint, count(*) AS n, count(*) / {TOTAL} AS share FROM tagged GROUP BY feature, viewpoint")
 def feature_viewpoint(spark, d):
-    t = tagged(spark, d).groupBy("feature", "viewpoint").agg(F.count(F.lit(1)).alias("n"))
+    t = settle(tagged(spark, d).groupBy("feature", "viewpoint").agg(F.count(F.lit(1)).alias("n")))
     return t.withColumn("share", F.col("n") / t.agg(F.sum("n")).scalar())
 
 
