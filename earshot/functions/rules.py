@@ -12,7 +12,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from earshot.functions.text import col, quoted, words
+from earshot.functions.text import col, let, quoted, words
 
 # Above this many keywords one pass with a prefix-tree pattern is faster than a
 # substring search per keyword (see bench notes in the README).
@@ -80,10 +80,13 @@ class KeywordIndex:
         if not self.inner:
             return found
         pairs = ", ".join(f"{quoted(w)}, array({', '.join(map(quoted, ps))})" for w, ps in self.inner.items())
-        prefixes = F.flatten(F.filter(
-            F.transform(found, lambda w: F.element_at(F.expr(f"map({pairs})"), w)), lambda ps: ps.isNotNull()
-        ))
-        return F.array_union(found, prefixes)
+
+        def with_prefixes(hits):
+            longer = F.array_intersect(hits, words(*self.inner))
+            extra = F.flatten(F.transform(longer, lambda w: F.element_at(F.expr(f"map({pairs})"), w)))
+            return F.when(F.arrays_overlap(hits, words(*self.inner)), F.array_union(hits, extra)).otherwise(hits)
+
+        return let(found, with_prefixes)  # the scan itself runs once
 
 
 def contains_any(text, keywords: Iterable[str]) -> Column:
