@@ -36,7 +36,7 @@ SCRIPT_COUNT = 15
 WORD = re.compile(r"[^\W\d_]+")
 SPANS = "array<struct<start:bigint,end:bigint,lang:string>>"
 CACHE = 300_000
-STEP_WORDS = 1 << 21
+STEP_WORDS = 1 << 18
 
 
 def script_of(word: str) -> int:
@@ -126,21 +126,23 @@ def tag(docs: DataFrame, model: DataFrame, text: str = "text", switch: float = 1
 
 
 def _label_batch(batch: pd.DataFrame, model: Model, found: dict[str, np.ndarray], text: str, switch: float) -> pd.DataFrame:
-    """Label a batch; documents are taken together in steps of so many words that memory stays bounded."""
-    names: list[str] = []
-    scores: list[float] = []
-    spans: list[list[dict]] = []
-    step: list[list[re.Match]] = []
+    """Label a batch.  Documents of like length are taken together, so many words at a time that memory stays bounded."""
+    texts = list(batch[text])
+    out: list[tuple] = [(UNKNOWN, 0.0, [])] * len(texts)
+    step: list[int] = []
+    words: list[list[str]] = []
     held = 0
-    for row in batch[text]:
-        words = list(WORD.finditer(row)) if row is not None and model.langs else []
-        step.append(words)
-        held += len(words)
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i] or "")):
+        own = WORD.findall(texts[i]) if texts[i] and model.langs else []
+        if own:
+            step.append(i), words.append(own)
+            held += len(own)
         if held >= STEP_WORDS:
-            _label_step(step, model, found, switch, names, scores, spans)
-            step, held = [], 0
-    _label_step(step, model, found, switch, names, scores, spans)
-    return batch.assign(lang_pred=names, score=np.array(scores, float), spans=spans)
+            _label_step(step, words, texts, model, found, switch, out)
+            step, words, held = [], [], 0
+    _label_step(step, words, texts, model, found, switch, out)
+    names, scores, spans = zip(*out, strict=True) if out else ((), (), ())
+    return batch.assign(lang_pred=list(names), score=np.array(scores, float), spans=list(spans))
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
@@ -155,26 +157,24 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
 
 
 def _label_step(
-    step: list[list[re.Match]], model: Model, found: dict, switch: float, names: list[str], scores: list[float], spans: list[list[dict]]
+    step: list[int], docs: list[list[str]], texts: list[str], model: Model, found: dict, switch: float, out: list[tuple]
 ) -> None:
-    docs = [[m.group() for m in words] for words in step]
     if len(found) > CACHE:
         found.clear()
     if new := list({w for words in docs for w in words if w not in found}):
         found.update(zip(new, word_scores(new, model), strict=True))
     paths = viterbi([np.array([found[w] for w in words]) for words in docs], switch)
-    for words, path in zip(step, paths, strict=True):
-        if not words:
-            names.append(UNKNOWN), scores.append(0.0), spans.append([])
-            continue
-        starts = np.array([m.start() for m in words])
-        ends = np.array([m.end() for m in words])
-        letters = np.bincount(path, ends - starts, len(model.langs))
+    for i, words, path in zip(step, docs, paths, strict=True):
+        letters = np.bincount(path, [len(w) for w in words], len(model.langs))
         best = int(letters.argmax())
-        names.append(model.langs[best]), scores.append(float(letters[best] / letters.sum()))
         cut = np.flatnonzero(np.diff(path, prepend=-1))
-        last = np.append(cut[1:], len(path)) - 1
-        spans.append([{"start": int(starts[a]), "end": int(ends[b]), "lang": model.langs[path[a]]} for a, b in zip(cut, last, strict=True)])
+        if len(cut) == 1:  # one span: from the first word to the end of the last
+            at = [(WORD.search(texts[i]).start(), texts[i].rfind(words[-1]) + len(words[-1]))]
+        else:
+            places = [m.span() for m in WORD.finditer(texts[i])]
+            at = [(places[a][0], places[b - 1][1]) for a, b in zip(cut, np.append(cut[1:], len(path)), strict=True)]
+        spans = [{"start": a, "end": b, "lang": model.langs[path[c]]} for (a, b), c in zip(at, cut, strict=True)]
+        out[i] = model.langs[best], float(letters[best] / letters.sum()), spans
 
 
 def viterbi(docs: list[np.ndarray], switch: float) -> list[np.ndarray]:

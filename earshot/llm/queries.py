@@ -13,6 +13,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Target weights of the mix, by level and value; others weigh 1.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "lang": {"en": 5, "de": 2, "fr": 2}}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 1.0, 4, 17
+LEVELS = ("domain", "lang", "source")
 
 
 def tokenizer_path() -> str:
@@ -25,7 +26,7 @@ def tokenizer_path() -> str:
 def mix_levels() -> dict[str, Column]:
     """Domain (by the source's number), language and source of a document."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1).try_cast("bigint")
-    return {"domain": F.concat(F.lit("d"), (number % 4).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+    return dict(zip(LEVELS, (F.concat(F.lit("d"), (number % 4).cast("string")), F.col("lang"), F.col("source")), strict=True))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +102,7 @@ def _weights_sql(level: str) -> str:
 
 def _mix_sql() -> str:
     """The same budgets level by level, and running sums over each leaf's rows at once."""
-    levels, steps = list(mix_levels()), []
+    levels, steps = list(LEVELS), []
     keys: list[str] = []
     for n, level in enumerate(levels):
         by, here = ", ".join(["root", *keys]), ", ".join(["root", *keys, level])
