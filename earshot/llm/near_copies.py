@@ -9,8 +9,9 @@ threshold are confirmed on their full sets.
 Groups are never expanded into all pairs.  Equal sets are one node.  Each node is first compared with one
 pivot of its buckets; a bucket whose nodes are then in one component needs no more work.  In the others,
 nodes outside the bucket's largest component are compared with the bucket in chunks, inside tasks: first
-each one's best partner, at last every partner that passes the estimate.  So every link between
-components that shares a band is confirmed or refused.  With 40 bands of 5 rows a pair of similarity 0.8
+each one's best partner is confirmed; at last each is taken to every component in which some partner
+passes the estimate, and tried there against all members.  So every link between components that shares
+a band is confirmed or refused, and pairs that are tried do not become rows.  With 40 bands of 5 rows a pair of similarity 0.8
 shares no band with probability 1e-7.
 
 Defined results: null and empty texts and texts without words have no set (n_shingles 0), are linked with
@@ -133,27 +134,84 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return rows.mapInPandas(make, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sig binary, bands array<bigint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Those (a, b) whose full sets are similar enough.  Only texts of paired documents become sets."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(needed, "doc_id", "left_semi")
+def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """doc_id and items (the whole set as bytes) of the documents in `ids`: the only texts that are read again."""
+    # always by a merge join: ids may be many, and the plan is then the same at every size
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(ids.hint("merge"), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "items": [shingle_set(t, width).tobytes() for t in batch["text"]]})
 
-    held = staged(rows.mapInPandas(sets, "doc_id bigint, items binary"), "sets")
+    return rows.mapInPandas(sets, "doc_id bigint, items binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) whose full sets are similar enough."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-    both = both.join(held.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
+    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
+def confirmed_in_components(found: DataFrame, comp: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between a document and another component, for candidates (a, comp).
+
+    A component's members are dealt into chunks, once each; each candidate visits every chunk of its
+    component.  All sets of a chunk meet in a task, so that pairs are tried there and never become rows;
+    a task returns at most one link for each visitor.
+    """
+    sizes = comp.groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    asked = found.select("comp").distinct()
+    own = F.pmod(F.xxhash64("doc_id"), "chunks")
+    stay = comp.join(asked, "comp", "left_semi").join(sizes, "comp").select("comp", own.alias("own"), F.lit(False).alias("visits"), "doc_id")
+    visit = found.join(sizes, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("own"), F.lit(True).alias("visits"), F.col("a").alias("doc_id"))
+    rows = stay.unionByName(visit).join(nodes.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
+    least = least_estimate(percent)
+
+    def compare(group: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        ids, items = group["doc_id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in group["items"]]
+        sigs = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
+        visits = group["visits"].to_numpy()
+        here = np.flatnonzero(~visits)
+        for x in np.flatnonzero(visits):
+            est = agreement(np.broadcast_to(sigs[x], (len(here), sigs.shape[1])), sigs[here])
+            order = here[np.argsort(-est)[: int((est >= least).sum())]]
+            y = next((y for y in order if similar(items[x], items[y], percent)), None)
+            if y is not None:
+                yield int(ids[x]), int(ids[y])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in grouped(batches, ["comp", "own"]):
+            yield pd.DataFrame(compare(group), columns=["a", "b"]).astype("int64")
+
+    ordered = rows.select("comp", "own", "visits", "doc_id", "sig", "items").repartition("comp", "own").sortWithinPartitions("comp", "own")
+    return ordered.mapInPandas(run, "a bigint, b bigint")
+
+
+def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that come ordered by `keys`, whatever the batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        values = batch[keys].to_numpy()
+        cut = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
+        if held and len(batch) and (held[-1][keys].to_numpy()[-1] != values[0]).any():
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        for lo, hi in zip(np.append(0, cut), np.append(cut, len(batch)), strict=True):
+            if held and lo:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(batch.iloc[lo:hi])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, of sorted distinct values."""
     if percent * max(len(one), len(other)) > 100 * min(len(one), len(other)) or not len(one):
@@ -185,16 +243,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _partners(mixed: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs (a, b, est) between components of a bucket, compared in chunks inside tasks.
+    """Candidates between components of a bucket, compared in chunks inside tasks.
 
     Rows outside the bucket's largest component visit every chunk of the bucket; the others stay in
-    their own.  With `best`, only the best partner of each visitor in each chunk is returned.
+    their own.  With `best`, the pair (a, b) of each visitor and its best partner; else (a, comp) for
+    every component that has a partner of the visitor.
     """
     least = least_estimate(percent)
     at = mixed.withColumn("minor", F.col("comp") != F.col("major"))
     at = at.withColumn("chunks", F.ceil(F.col("size") / CHUNK)).withColumn("groups", F.ceil((F.col("size") - F.col("most")) / CHUNK))
     at = at.withColumn("own", F.pmod(F.xxhash64("doc_id"), "chunks")).withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), "groups"))
-    cols = ("bucket", "own", "group", "visits", "doc_id", "comp", "n", "sig")
+    cols = ("bucket", "own", "group", "visits", "minor", "doc_id", "comp", "n", "sig")
     stay = at.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("visits", F.lit(False))
     visit = at.filter("minor").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("visits", F.lit(True))
     rows = stay.select(*cols).unionByName(visit.select(*cols))
@@ -215,7 +274,7 @@ def _partners(mixed: DataFrame, percent: int, best: bool) -> DataFrame:
     ordered = rows.repartition(*place).sortWithinPartitions(*place)
     found = ordered.mapInPandas(compare, "a bigint, b bigint, est double")
     if not best:
-        return found.select("a", "b").distinct()
+        return found.select("a", F.col("b").alias("comp")).distinct()
     top = found.groupBy("a").agg(F.max(F.struct("est", "b")).alias("top"))
     return top.select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct()
 
@@ -224,7 +283,7 @@ def _compare_groups(rows: pd.DataFrame, cut: np.ndarray, least: float, percent:
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(rows):
         ids, comp, n = (rows[c].to_numpy() for c in ("doc_id", "comp", "n"))
-        visits = rows["visits"].to_numpy()
+        visits, minor = rows["visits"].to_numpy(), rows["minor"].to_numpy()
         sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
         for lo, hi in zip(np.append(0, cut), np.append(cut, len(rows)), strict=True):
             here = np.arange(lo, hi)
@@ -242,8 +301,10 @@ def _compare_groups(rows: pd.DataFrame, cut: np.ndarray, least: float, percent:
                     by = np.lexsort((-est, x))
                     first = by[np.unique(x[by], return_index=True)[1]]
                     x, y, est = x[first], y[first], est[first]
-                one, other = ids[part[x]], ids[stay[y]]
-                out.append((one, other, est) if best else (np.minimum(one, other), np.maximum(one, other), est))
+                if not best:  # two visitors' components need one direction only
+                    once = ~minor[stay[y]] | (comp[part[x]] > comp[stay[y]])
+                    x, y, est = x[once], y[once], est[once]
+                out.append((ids[part[x]], (ids if best else comp)[stay[y]], est))
     a, b, est = (np.concatenate(v) for v in zip(*out, strict=True)) if out else ([], [], [])
     frame = pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64), "est": np.asarray(est, float)})
     return frame if best else frame.drop_duplicates(["a", "b"])
@@ -276,21 +337,23 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     both = pairs.join(nodes.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a")
     both = both.join(nodes.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
     pairs = staged(both.select("a", "b", "x", "y").mapInPandas(likely, "a bigint, b bigint").distinct(), "pairs")
-    links = staged(confirmed(pairs, docs, key, text, width, percent), "links")
+    sets = staged(shingle_sets(docs, placed.select("doc_id").distinct(), key, text, width), "sets")
+    links = staged(confirmed(pairs, sets, percent), "links")
     tried = pairs
     for turn in range(rounds + 1):
         comp = components(links)
-        where = placed.select("doc_id", "n", "bucket").join(comp, "doc_id", "left")
-        where = where.withColumn("comp", F.coalesce("comp", "doc_id"))
+        comp = staged(placed.select("doc_id").distinct().join(comp, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp")), "comp")
+        where = placed.select("doc_id", "n", "bucket").join(comp, "doc_id")
         parts = where.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
         stats = parts.groupBy("bucket").agg(F.sum("size").alias("size"), F.count("*").alias("parts"), F.max(F.struct("size", "comp")).alias("top"))
         stats = stats.filter("parts > 1").select("bucket", "size", F.col("top.size").alias("most"), F.col("top.comp").alias("major"))
         mixed = where.join(stats, "bucket").join(nodes.select("doc_id", "n", "sig"), ["doc_id", "n"])
-        pairs = _partners(mixed, percent, best=turn < rounds)
-        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.limit(1).count():
-            tried = tried.union(pairs)
-            links = links.union(staged(confirmed(pairs, docs, key, text, width, percent), "links"))
+        if turn < rounds:
+            pairs = staged(_partners(mixed, percent, best=True).join(tried, ["a", "b"], "left_anti"), "pairs")
+            tried, new = tried.union(pairs), confirmed(pairs, sets, percent)
+        else:
+            new = confirmed_in_components(staged(_partners(mixed, percent, best=False), "candidates"), comp, nodes, sets, percent)
+        links = links.union(staged(new, "links"))
     comp = components(links)
     named = copies.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
