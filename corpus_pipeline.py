@@ -35,8 +35,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that repeat the kept id and its text are one document: one row stays.
     """
     gone = near_copies.near_copies(docs, width=2).filter(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    return rest.filter("doc_id is null").unionByName(rest.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    lone = free_name(docs.columns, "lone")  # rows without an id are never repeats of each other
+    rest = docs.join(gone, "doc_id", "left_anti").withColumn(lone, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return rest.dropDuplicates(["doc_id", lone]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
