@@ -5,9 +5,9 @@ and a rest.  Pieces are dealt at random into groups of about `group` pieces; eac
 own: pieces in order of falling length go to the first bin with room, found by a descent in a tournament
 tree whose nodes hold the largest free capacity below them.  A bin is a sequence.
 
-Tokenizing keeps, in each task, the ids of text units already seen.  A unit is a run of other characters
-with the blanks and line ends before it; the tokenizer never joins ids across its start, so the units'
-ids in order are the text's ids.  Texts with other white space go to the tokenizer whole.
+Ids are the tokenizer's.  Texts of ordinary Latin characters, blanks and line ends are encoded from the
+same vocabulary by a faster library when its file is given; texts with any other character, or with the
+name of a special token, go to the tokenizer itself.
 
 Defined results: a null or empty text is one piece of one id, the end id.  Rows with null or repeated ids
 are documents of their own.  Ties in length go by row.  An empty table gives no sequence.
@@ -15,9 +15,13 @@ are documents of their own.  Ties in length go by row.  An empty table gives no
 
 from __future__ import annotations
 
+import base64
+import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,61 +32,63 @@ from earshot.llm.common import staged
 
 SIZE = 2048
 END = 1
-UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-CACHE = 250_000
+#: Texts without these are read alike by both libraries.
+UNUSUAL = re.compile("[^\n\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]|<\\|")
+#: Texts given to the tokenizer at once; its results are many times their size.
+AT_ONCE = 16
 #: Bits of a bin's number within its group.
 BIN_BITS = 32
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-class Encoder:
-    """Ids of texts as bytes (little-endian, 32 bits each), with a bounded memory of units."""
+@functools.cache
+def _tokenizer(path: str):  # noqa: ANN202
+    """Loaded once in each worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def _ranks(path: str, pattern: str):  # noqa: ANN202
+    """The same vocabulary as ranks, loaded once in each worker."""
+    import tiktoken
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.found: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+@dataclass(frozen=True)
+class Encoder:
+    """Ids of texts as bytes (little-endian, 32 bits each).
+
+    `tokenizer` is the tokenizer's file; `ranks` and `pattern`, if given, are the same vocabulary as ranks
+    and its pattern of words.
+    """
+
+    tokenizer: str
+    ranks: str | None = None
+    pattern: str = ""
 
     def documents(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; some texts at a time, so that memory follows the longest text."""
-        held, size = [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size > 1 << 21:
-                yield from self._documents(held)
-                held, size = [], 0
-        yield from self._documents(held)
-
-    def _documents(self, texts: list[str]) -> Iterator[bytes]:
-        units = [[t] if OTHER_SPACE.search(t) else UNIT.findall(t) for t in texts]
-        if len(self.found) > CACHE:
-            self.found.clear()
-        new = list({u for doc in units for u in doc if u not in self.found})
-        short = [u for u in new if len(u) <= 64]
-        self.found.update(zip(short, self.encode(short), strict=True))
-        large = [u for u in new if len(u) > 64]
-        once = dict(zip(large, self.encode(large), strict=True))
-        for doc in units:
-            try:
-                yield b"".join(map(self.found.__getitem__, doc))
-            except KeyError:
-                yield b"".join(self.found[u] if u in self.found else once[u] for u in doc)
-
-
-def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+        for at in range(0, len(texts), AT_ONCE):
+            part = texts[at : at + AT_ONCE]
+            slow = [i for i, t in enumerate(part) if self.ranks is None or UNUSUAL.search(t)]
+            ids = {}
+            if slow:
+                found = _tokenizer(self.tokenizer).encode_batch([part[i] for i in slow], add_special_tokens=False)
+                ids = {i: np.array(e.ids, "<u4").tobytes() for i, e in zip(slow, found, strict=True)}
+            for i, text in enumerate(part):
+                yield ids[i] if i in ids else np.array(_ranks(self.ranks, self.pattern).encode_ordinary(text), "<u4").tobytes()
+
+
+def pieces(docs: DataFrame, encoder: Encoder, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(tokenizer), np.array([END], "<u4").tobytes()
+        end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch["doc_id"], encoder.documents([t or "" for t in batch["text"]]), strict=True):
@@ -121,10 +127,10 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", group: int = 4096, seed: int = 3) -> DataFrame:
+def packed(docs: DataFrame, encoder: Encoder, key: str = "doc_id", text: str = "text", group: int = 4096, seed: int = 3) -> DataFrame:
     """The pieces of all documents with sequence_id and offset."""
     # rows get numbers in the written table, which later reads repeat: equal rows still part at random
-    rows = staged(pieces(docs, tokenizer, key, text).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    rows = staged(pieces(docs, encoder, key, text).withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-rows.count() // group))
     dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups)))
 

@@ -9,18 +9,17 @@ from earshot.llm import inner_products, language, main_text, mixing, near_copies
 from earshot.llm.common import held_out, table
 
 RULES = [urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/")]
-TOKENIZER = "byte_bpe_50k.json"
 #: Target weights of the mix, by level and value; others weigh 1.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "lang": {"en": 5, "de": 2, "fr": 2}}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 1.0, 4, 17
 LEVELS = ("domain", "lang", "source")
 
 
-def tokenizer_path() -> str:
-    """Where the public vocabulary files lie; the same on every machine that has them installed."""
-    import public_tokenizers
+def encoder() -> packing.Encoder:
+    """The public vocabulary; its files lie in the same place on every machine that has them installed."""
+    import public_tokenizers as public
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return packing.Encoder(str(public.path("byte_bpe_50k.json")), str(public.path("byte_bpe_50k.tiktoken")), public.PATTERN)
 
 
 def mix_levels() -> dict[str, Column]:
@@ -83,7 +82,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed(table(spark, sf_dir, "documents"), encoder())
 
 
 QUERIES = {
