@@ -35,8 +35,10 @@ SCRIPTS = (
 SCRIPT_COUNT = 15
 WORD = re.compile(r"[^\W\d_]+")
 SPANS = "array<struct<start:bigint,end:bigint,lang:string>>"
-CACHE = 300_000
-STEP_WORDS = 1 << 18
+CACHE = 150_000
+#: Words whose n-grams are scored at once.
+AT_ONCE = 8192
+STEP_WORDS = 1 << 17
 
 
 def script_of(word: str) -> int:
@@ -162,7 +164,8 @@ def _label_step(
     if len(found) > CACHE:
         found.clear()
     if new := list({w for words in docs for w in words if w not in found}):
-        found.update(zip(new, word_scores(new, model), strict=True))
+        for at in range(0, len(new), AT_ONCE):
+            found.update(zip(new[at : at + AT_ONCE], word_scores(new[at : at + AT_ONCE], model), strict=True))
     paths = viterbi([np.array([found[w] for w in words]) for words in docs], switch)
     for i, words, path in zip(step, docs, paths, strict=True):
         letters = np.bincount(path, [len(w) for w in words], len(model.langs))

@@ -26,7 +26,7 @@ from earshot.llm.common import bounded_sample
 BUCKETS = 1 << 17
 FEATURES = 2 * BUCKETS
 DIMENSIONS, EPOCHS, RATE = 8, 6, 0.6
-CACHE = 300_000
+CACHE = 150_000
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
