@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from earshot.llm import language, mixing, near_copies, packing, personal_data
 from earshot.llm.common import free_name, held_out, staged, table
-from earshot.llm.queries import WEIGHTS, mix_levels, tokenizer_path
+from earshot.llm.queries import WEIGHTS, encoder, mix_levels
 
 #: Least share of a document's letters in its language; others, and texts without letters, are rejected.
 LEAST_LANGUAGE = 0.5
@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 2048 tokens."""
-    return packing.packed(docs, tokenizer_path())
+    return packing.packed(docs, encoder())
 
 
 STAGES = [
