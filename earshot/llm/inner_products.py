@@ -101,7 +101,7 @@ def top_inner_products(
     """
     rows = blocks.usable(vectors, key, column, zero=True)
     asked = blocks.usable(queries, key, column, zero=True).dropDuplicates(["vec_id"])
-    width = blocks.width_of(rows)
+    width = max(blocks.width_of(rows), blocks.width_of(asked))
     basis = rotation(rows, width)
 
     def floored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -79,7 +79,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     """query_id, rank, vec_id, score of the `k` largest cosines for each row of `queries`."""
     rows = blocks.usable(vectors, key, column, zero=False)
     asked = blocks.usable(queries, key, column, zero=False).dropDuplicates(["vec_id"])
-    width = blocks.width_of(rows)
+    width = max(blocks.width_of(rows), blocks.width_of(asked))
     data = blocks.packed(rows, width, DATA_BLOCK, "vectors")
     asked = blocks.packed(asked, width, QUERY_BLOCK, "queries")
 

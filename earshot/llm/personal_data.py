@@ -44,7 +44,7 @@ AGAINST = {
     "email": "example|noreply", "ip": "version|release|section", "card": "isbn|order|tracking|serial", "phone": "order|invoice|serial",
     "iban": "serial|product", "national": "part|item|serial",
 }
-RAISE, LOWER, NEAR, LEAST = 0.3, 0.2, 40, 0.5
+RAISE, LOWER, NEAR, LEAST = 0.3, 0.2, 40, 0.45
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
 
