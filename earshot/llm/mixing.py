@@ -99,7 +99,7 @@ def mixed(
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS)).cast("int"))
     placed = rows.join(plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*names, "salt"]).drop("salt")
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    placed = staged(placed.withColumn("place", digest).withColumn("range", F.substring("place", 1, 4)), "placed")
+    placed = staged(placed.withColumn("place", digest).withColumn("range", F.substring("place", 1, 3)), "placed")
     sums = placed.groupBy(*names, "range").agg(F.sum("tokens").alias("sum"))
     ahead = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*names, "range", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
