@@ -118,7 +118,7 @@ def rating_average(c) -> Column:
 
 def rating_count(c) -> Column:
     digits = F.regexp_extract(F.replace(collapse(c), F.lit(","), F.lit("")), r"([0-9]+)", 1)
-    return F.coalesce(digits.try_cast("int"), F.lit(0))
+    return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def after_on(c) -> Column:
@@ -139,7 +139,7 @@ def review_date(c) -> Column:
 
 
 def timestamp(c) -> Column:
-    """Dates as ``2024-1-5`` or ``2024/1/5``, with or without a time, or ISO text."""
+    """Dates as ``2024-1-5`` or ``2024/1/5``, with or without a time, or ISO text, whose offset is left out: the written day counts."""
     c = strip(c)
     formats = [
         (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
@@ -148,7 +148,8 @@ def timestamp(c) -> Column:
         (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "yyyy/M/d H:m:s"),
     ]
     tries = [F.try_to_timestamp(F.when(c.rlike(p), c), F.lit(f)) for p, f in formats]
-    iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c).try_cast("timestamp")
+    local = F.regexp_replace(c, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*?)(?:Z|[+-]\d{2}:?\d{2})$", "$1")
+    iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), local).try_cast("timestamp")
     return F.coalesce(*tries, iso)
 
 
@@ -207,7 +208,7 @@ def keyword_list(c) -> Column:
 def numbers_in(c) -> Column:
     """Every whole number in a reply, distinct, in order."""
     found = F.regexp_extract_all(collapse(c), F.lit(r"(\d+)"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: x.try_cast("bigint")), lambda x: x.isNotNull()))
 
 
 def count_text(n) -> Column:

@@ -13,7 +13,9 @@ from earshot.packs import reviews as VP
 def pending_texts(df: DataFrame, columns: list[str], cache: DataFrame) -> DataFrame:
     """Distinct texts of the columns that the cache does not know yet."""
     texts = df.select(F.explode(F.array(*[T.collapse(c) for c in columns])).alias("text")).filter(F.col("text") != "")
-    return texts.distinct().join(cache.select("text"), "text", "left_anti")
+    keyed = texts.withColumn("_k", F.sha2("text", 256))
+    known = cache.select(F.sha2("text", 256).alias("_k"))
+    return keyed.join(known, "_k", "left_anti").dropDuplicates(["_k"]).drop("_k")
 
 
 def apply_cache(df: DataFrame, cache: DataFrame, column: str, out: str, fallback: str = "original") -> DataFrame:
@@ -30,8 +32,11 @@ def apply_cache(df: DataFrame, cache: DataFrame, column: str, out: str, fallback
 
 
 def merge_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """Cache plus new answers; a failed answer stores the original text."""
-    return cache.select("text", "translated").unionByName(new.select("text", F.coalesce("translated", "text").alias("translated")))
+    """Cache plus new answers, which replace old ones; a failed answer stores the original text."""
+    digest = F.sha2(T.collapse("text"), 256)
+    answers = new.select("text", F.coalesce("translated", "text").alias("translated"))
+    old = cache.select("text", "translated", digest.alias("_k")).join(answers.select(digest.alias("_k")), "_k", "left_anti")
+    return old.select("text", "translated").unionByName(answers)
 
 
 # ---- need layers -----------------------------------------------------------------

@@ -2,56 +2,46 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A key is hot when it holds more than 1/HOT_PARTS of the rows, so there are
-# fewer than HOT_PARTS hot keys: the list of them has a proven size bound.
-HOT_PARTS = 200
 # Sequence numbers are cut into blocks of 2**BLOCK_BITS, which bounds the rows of
 # one block.
 BLOCK_BITS = 16
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join a large side with a side that is unique on ``on``, however skewed.
+    """Join a large side with a side that is unique on ``on``; the left side is evaluated once.
 
-    Rows with a hot key meet a broadcast of fewer than ``HOT_PARTS`` rows and are
-    not shuffled at all; the rest is an ordinary join.  ``how`` is ``left`` or
-    ``inner``.
+    A plain join: only its own shuffle lies below it, so Spark splits the partitions of
+    hot keys while it runs (``spark.sql.adaptive.skewJoin.enabled``, on by default).
+    ``how`` is ``left`` or ``inner``.
     """
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    share = counts.agg((F.sum("_n") / HOT_PARTS).alias("s")).scalar()
-    hot = counts.filter(F.col("_n") > share).select(*on, F.lit(True).alias("_hot"))
     names = [c for c in right.columns if c not in on]
-    found = right.select(*on, F.struct(*names, F.lit(True).alias("_m")).alias("_r"))
-    hot_right = F.broadcast(hot).join(found, on, "left")
-    no_key = F.lit(False)
-    for k in on:
-        no_key = no_key | F.col(k).isNull()
-    flagged = left.join(F.broadcast(hot_right), on, "left").withColumn("_hot", F.col("_hot").isNotNull() | no_key)
-    settled = flagged.filter("_hot")
-    if how == "inner":
-        settled = settled.filter(F.col("_r._m").isNotNull())
-    open_rows = flagged.filter("NOT _hot").select(*left.columns).join(right, on, how)
-    columns = [*left.columns, *names]
-    return settled.select(*left.columns, *[F.col("_r")[n].alias(n) for n in names]).unionByName(open_rows.select(*columns))
+    return left.join(right, on, how).select(*left.columns, *names)
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a result once to the shared checkpoint folder and read it from there.
+    """Write a result once, as Parquet, to the folder all executors share and read it from there.
 
-    For results that several later steps use.  The folder is the one the session
-    names in ``spark.checkpoint.dir``; only where none is set, as in tests, a
-    temporary one is used.
+    For results that several later steps use: later reads take only the columns they
+    need, and a lost executor loses nothing.  The folder is the one the session names
+    in ``spark.checkpoint.dir``.  Only a local session without one, as in tests, gets
+    its own; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return df.checkpoint()
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def border(df: DataFrame, names: list[str]) -> DataFrame:

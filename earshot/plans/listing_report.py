@@ -12,8 +12,9 @@ def _yes(c):
     return F.when(c, "是").otherwise("否")
 
 
-def review_table(reviews: DataFrame, images: int = 0) -> DataFrame:
-    """Reviews of a product, ready to be read; ``images`` picture columns."""
+def review_table(reviews: DataFrame, images: int | None = None) -> DataFrame:
+    """Reviews of a product, ready to be read; ``images`` picture columns, as many as the data need if not given."""
+    images = _picture_columns(reviews) if images is None else images
     return reviews.select(
         F.col("reviewId").alias("评论ID"), T.text_of("author").alias("用户名称"), F.col("rating").alias("评分"),
         T.text_of("ratingText").alias("评分文本"), T.text_of("title").alias("评论标题"), T.text_of("body").alias("评论内容"),
@@ -45,7 +46,12 @@ def candidate_table(selected: DataFrame) -> DataFrame:
     )
 
 
-def review_details(attached: DataFrame, images: int = 0) -> DataFrame:
+def _picture_columns(reviews: DataFrame) -> int:
+    return L.image_columns_needed(reviews).first()["max_images"]
+
+
+def review_details(attached: DataFrame, images: int | None = None) -> DataFrame:
+    images = _picture_columns(attached) if images is None else images
     return attached.select(
         F.col("scenarioLabel").alias("场景名称"), T.list_text("matchedKeywords").alias("关键词来源"),
         F.col("productTitle").alias("商品标题"), F.col("asin").alias("ASIN"), T.text_of("author").alias("用户名称"),

@@ -60,7 +60,7 @@ HITS = f"""hits AS MATERIALIZED (SELECT ord, asin, {B.s_collapse('title0')} AS t
     CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'S$1,' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '.50' END AS priceText,
     CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(1000 + o_orderkey % 1000 + 0.5 AS DOUBLE) END AS price,
     CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(1.5 + o_orderkey % 5 AS DOUBLE) END AS ratingAverage,
-    CAST((o_orderkey % 3) * 1000 + o_orderkey % 977 AS INTEGER) AS ratingCount, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE coalesce(p_brand, '') END AS brand,
+    CAST((o_orderkey % 3) * 1000 + o_orderkey % 977 AS BIGINT) AS ratingCount, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE coalesce(p_brand, '') END AS brand,
     {B.sql_pick(KEYWORDS, 'ascii(o_orderpriority)')} AS keyword, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS searchPage
   FROM orders LEFT JOIN part ON o_custkey = p_partkey) WHERE title0 <> '')"""
 
@@ -259,9 +259,9 @@ def _(spark, d):
 
 @query("review_table", VIEW_SQL + f""" SELECT reviewId AS "评论ID", author AS "用户名称", rating AS "评分", ratingText AS "评分文本", title AS "评论标题", body AS "评论内容", {_ISO} AS "评论时间",
   dateText AS "原始时间文本", CASE WHEN verifiedPurchase THEN '是' ELSE '否' END AS "是否认证购买", CAST(images AS INTEGER) AS "图片数量", views AS "来源视图",
-  CASE WHEN images >= 2 THEN 'media/' || img_id || '-2.png' ELSE '' END AS "图片路径", '' AS "图片1", CASE WHEN images >= 2 THEN 'media/' || img_id || '-2.png' ELSE '' END AS "图片2" FROM dated""")
+  CASE WHEN images >= 2 THEN 'media/' || img_id || '-2.png' ELSE '' END AS "图片路径", '' AS "图片1", CASE WHEN images >= 2 THEN 'media/' || img_id || '-2.png' ELSE '' END AS "图片2", '' AS "图片3" FROM dated""")
 def _(spark, d):
-    return R.review_table(merged(spark, d), images=2)
+    return R.review_table(settle(merged(spark, d)))
 
 
 @query("review_image_table", VIEW_SQL + f""" SELECT reviewId AS "评论ID", author AS "用户名称", rating AS "评分", title AS "评论标题", {_ISO} AS "评论时间", CAST(x AS INTEGER) AS "图片序号",
@@ -320,10 +320,11 @@ def _(spark, d):
 
 @query("run_review_details", _RUN + """ SELECT p_type AS "场景名称", p_type || ', ' || p_brand AS "关键词来源", p_name AS "商品标题", d.asin AS "ASIN", author AS "用户名称", rating AS "评分",
   ratingText AS "评分文本", title AS "评论标题", body AS "评论内容", raw_date AS "评论时间", CASE WHEN verifiedPurchase THEN '是' ELSE '否' END AS "是否认证购买", views AS "来源视图",
-  CAST(images AS INTEGER) AS "图片数量", CASE WHEN images >= 2 THEN 'media/' || img_id || '-2.png' ELSE '' END AS "图片路径" FROM dated d JOIN run ON run.asin = d.asin""")
+  CAST(images AS INTEGER) AS "图片数量", CASE WHEN images >= 2 THEN 'media/' || img_id || '-2.png' ELSE '' END AS "图片路径", '' AS "图片1",
+  CASE WHEN images >= 2 THEN 'media/' || img_id || '-2.png' ELSE '' END AS "图片2", '' AS "图片3" FROM dated d JOIN run ON run.asin = d.asin""")
 def _(spark, d):
     r = settle(merged(spark, d))
-    return R.review_details(L.attach_reviews(L.run_status(products(spark, d), r), r))
+    return R.review_details(settle(L.attach_reviews(L.run_status(products(spark, d), r), r)))
 
 
 @query("product_image_files", "SELECT 'B' || p_partkey AS asin, 'img/B' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '.jpg' ELSE '.png' END AS image_path FROM part")

@@ -129,7 +129,7 @@ def result_pages(spark, d):
 
 
 @query("page_search_cards", """SELECT p_partkey AS page_id, 'P' || p_partkey AS asin, p_name || ' & more' AS title, '/dp/P' || p_partkey AS productUrl, p_retailprice AS price, CAST(4.5 AS DOUBLE) AS ratingAverage,
-  CAST(1000 + p_size AS INTEGER) AS ratingCount, p_brand AS brand, 'https://i.example.com/' || p_partkey || '.jpg' AS imageUrl FROM part""")
+  CAST(1000 + p_size AS BIGINT) AS ratingCount, p_brand AS brand, 'https://i.example.com/' || p_partkey || '.jpg' AS imageUrl FROM part""")
 def _(spark, d):
     return L.parse_hits(PG.cards_of_pages(result_pages(spark, d))).select("page_id", "asin", "title", "productUrl", "price", "ratingAverage", "ratingCount", "brand", "imageUrl")
 
@@ -151,7 +151,7 @@ def _(spark, d):
     return docs.select("doc_id", T.shorten("text", 56).alias("s56"), T.shorten(T.collapse("text"), 100).alias("s100"), T.cache_key("text").alias("cache_key"), T.safe_segment("url").alias("segment"))
 
 
-@query("text_numbers", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS rating, CAST(l_partkey AS DOUBLE) + 0.5 AS price, CAST(l_orderkey % 100000 AS INTEGER) AS cnt FROM lineitem""")
+@query("text_numbers", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS rating, CAST(l_partkey AS DOUBLE) + 0.5 AS price, CAST(l_orderkey % 100000 AS BIGINT) AS cnt FROM lineitem""")
 def _(spark, d):
     c = F.col
     li = B.read(spark, d, "lineitem")
@@ -189,9 +189,18 @@ def _(spark, d):
     )
 
 
-@query("text_chunks")
+_CHUNKS = r"""WITH RECURSIVE cuts AS (
+  SELECT doc_id, 0 AS n, CASE WHEN length(text) <= 3500 THEN text END AS chunk, CASE WHEN length(text) > 3500 THEN text END AS rest FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, n + 1, CASE WHEN length(rest) <= 3500 THEN rest ELSE trim(substr(rest, 1, pos), {sp}) END,
+    CASE WHEN length(rest) > 3500 THEN trim(substr(rest, pos + 1), {sp}) END
+  FROM (SELECT *, CASE WHEN line >= 1750 THEN line WHEN stop >= 1750 THEN stop ELSE 3500 END AS pos FROM (
+    SELECT *, 3500 - coalesce(nullif(strpos(reverse(substr(rest, 1, 3500)), chr(10)), 0), 3501) AS line,
+      3500 - coalesce(nullif(strpos(reverse(substr(rest, 1, 3500)), ' .'), 0), 3500) - 1 AS stop FROM cuts WHERE rest IS NOT NULL)))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS part, chunk FROM cuts WHERE chunk IS NOT NULL AND (chunk <> '' OR n = 0)"""
+
+
+@query("text_chunks", _CHUNKS.replace("{sp}", " || ".join(f"chr({ord(x)})" for x in T.SPACES)))
 def _(spark, d):
-    """Each cut depends on the one before, so there is no SQL; see the tests."""
     return FI.chunks(B.read(spark, d, "documents"), "doc_id", "text")
 
 

@@ -216,8 +216,10 @@ def _review(root: _Node) -> dict:
     def hook(*names):
         return root.find(lambda n: n.has("data-hook", *names))
 
-    rating = _text(root.find(lambda n: n.classed("a-icon-alt") and n.inside(
-        lambda p: p.has("data-hook", "review-star-rating") or p.classed("review-rating"))))
+    def stars(place):
+        return _text(root.find(lambda n: n.classed("a-icon-alt") and n.inside(place)))
+
+    rating = stars(lambda p: p.has("data-hook", "review-star-rating")) or stars(lambda p: p.classed("review-rating"))
     images = []
     for b in root.walk():
         if b.tag == "button" and b.classed("review-image-thumbnail"):

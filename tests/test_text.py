@@ -79,3 +79,33 @@ def test_chunks_match_brute_force(spark):
     for r in chunks(df, "k", "t", size=40).orderBy("k", "part").collect():
         got.setdefault(r.k, []).append(r.chunk)
     assert [got[i] for i in range(len(texts))] == [brute(t, 40) for t in texts]
+
+
+def test_chunks_of_random_texts(spark):
+    """Native cuts against the definition, with white space at the ends and around cuts."""
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aab. \n") for _ in range(rng.randint(0, 150))) for _ in range(1500)]
+
+    def brute(text, size):
+        if len(text) <= size:
+            return [text]
+        out = []
+        while len(text) > size:
+            cut = next((p for p in (text.rfind("\n", 0, size), text.rfind(". ", 0, size)) if p >= size / 2), size)
+            out.append(text[:cut].strip())
+            text = text[cut:].strip()
+        return [p for p in [*out, text] if p]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    got = {}
+    for r in chunks(df, "k", "t", size=40).orderBy("k", "part").collect():
+        got.setdefault(r.k, []).append(r.chunk)
+    wrong = [(t, got.get(i, []), brute(t, 40)) for i, t in enumerate(texts) if got.get(i, []) != brute(t, 40)]
+    assert not wrong, (len(wrong), wrong[0])
+
+
+def test_written_day_and_large_counts(spark):
+    assert [str(x) for x in values(spark, ["2024-01-05T23:30:00-08:00", "2024-01-05 10:00:00Z"], T.timestamp)] == ["2024-01-05 23:30:00", "2024-01-05 10:00:00"]
+    assert values(spark, ["3,000,000,000 ratings"], T.rating_count) == [3000000000]
