@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.llm import language, mixing, near_copies, packing, personal_data
-from earshot.llm.common import free_name, held_out, staged, table
+from earshot.llm.common import free_name, held_out, ship, staged, table
 from earshot.llm.queries import WEIGHTS, encoder, mix_levels
 
 #: Least share of a document's letters in its language; others, and texts without letters, are rejected.
@@ -21,6 +21,7 @@ SHARE = 0.8
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language.  Learns from the labels that the held-out split leaves."""
+    ship(spark)
     kept = list(docs.columns)
     model = language.train(docs.filter(~held_out(F.col("doc_id"), 3, 1)))
     names = {c: free_name(kept, f"own_{c}") for c in kept if c in ("lang_pred", "score", "spans")}
@@ -34,6 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows that repeat the kept id and its text are one document: one row stays.
     """
+    ship(spark)
     gone = near_copies.near_copies(docs, width=2).filter(~F.col("kept")).select("doc_id").distinct()
     lone = free_name(docs.columns, "lone")  # rows without an id are never repeats of each other
     rest = docs.join(gone, "doc_id", "left_anti").withColumn(lone, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
@@ -56,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 2048 tokens."""
+    ship(spark)
     return packing.packed(docs, encoder())
 
 
