@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Sequence numbers are cut into blocks of 2**BLOCK_BITS, which bounds the rows of
 # one block.
@@ -23,15 +23,11 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     return left.join(right, on, how).select(*left.columns, *names)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a result once, as Parquet, to the folder all executors share and read it from there.
+def new_path(spark: SparkSession) -> str:
+    """A new path in the folder all executors share, which the session names in ``spark.checkpoint.dir``.
 
-    For results that several later steps use: later reads take only the columns they
-    need, and a lost executor loses nothing.  The folder is the one the session names
-    in ``spark.checkpoint.dir``.  Only a local session without one, as in tests, gets
-    its own; on a cluster that is an error.
+    Only a local session without one, as in tests, gets its own; on a cluster that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
@@ -39,9 +35,18 @@ def settle(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = sc.getCheckpointDir()
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a result once, as Parquet, to the shared folder and read it from there.
+
+    For results that several later steps use: later reads take only the columns they
+    need, and a lost executor loses nothing.
+    """
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def border(df: DataFrame, names: list[str]) -> DataFrame:

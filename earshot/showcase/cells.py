@@ -135,8 +135,8 @@ def _(spark, d):
     return CE.collect_reviews(review_grid(spark, d), focus="Prod 3", sheet="click").select("record_id", "raw_comment")
 
 
-@query("focus_candidates", _BASE + """, n AS (SELECT product AS name, count(*) AS n, min(sheet_idx * 1000000 + row) AS seen FROM e JOIN s USING (sheet) WHERE sheet <> 'error' AND row > header_row AND row <= header_row + 120 GROUP BY product
-  UNION ALL SELECT sheet, 1, sheet_idx * 1000000 + 999999 FROM s WHERE sheet <> 'error') SELECT name, n FROM n ORDER BY n DESC, seen LIMIT 20""")
+@query("focus_candidates", _BASE + """, n AS (SELECT product AS name, count(*) AS n, min(sheet_idx::BIGINT * 10000000000 + row) AS seen FROM e JOIN s USING (sheet) WHERE sheet <> 'error' AND row > header_row GROUP BY product
+  UNION ALL SELECT sheet, 1, sheet_idx::BIGINT * 10000000000 + 9999999999 FROM s WHERE sheet <> 'error') SELECT name, n, CAST(row_number() OVER (ORDER BY n DESC, seen) AS INTEGER) AS position FROM n ORDER BY n DESC, seen LIMIT 20""")
 def _(spark, d):
     return CE.focus_candidates(review_grid(spark, d))
 
@@ -184,7 +184,7 @@ def _(spark, d):
     return CE.collect_feedback(return_grid(spark, d), "lc30").select("record_id", "source_type", "return_reason", "cleaned_comment", "is_valid_feedback")
 
 
-@query("product_candidates", _BASE + f""", t AS (SELECT s.sheet_idx, row, {B.sql_pick(B.MODELS, 'user_id')} AS model FROM e JOIN s USING (sheet) WHERE sheet IN ('view', 'purchase', 'signup') AND row <= header_row + 200),
+@query("product_candidates", _BASE + f""", t AS (SELECT s.sheet_idx, row, {B.sql_pick(B.MODELS, 'user_id')} AS model FROM e JOIN s USING (sheet) WHERE sheet IN ('view', 'purchase', 'signup')),
   p AS (SELECT DISTINCT CASE WHEN contains(upper(model), 'BOX') THEN 'BOX X2' WHEN contains(upper(model), 'P4') THEN 'P4' WHEN contains(upper(model), 'ZD3') THEN 'ZD3' END AS product FROM t)
   SELECT 'LC30' AS product, 0 AS stage UNION SELECT product, 2 FROM p WHERE product IS NOT NULL""")
 def _(spark, d):

@@ -20,8 +20,8 @@ GRID = "workbook string, sheet string, sheet_idx int, row int, col int, value st
 SHEET = ["workbook", "sheet"]
 MISSING = "未提供"
 
-# ord = workbook rank (14 bits), sheet index (10 bits), row (30 bits)
-SHEET_BITS, ROW_BITS = 10, 30
+# ord = number of the sheet over all workbooks (24 bits), row (30 bits); larger ones are refused
+SHEET_BITS, ROW_BITS = 24, 30
 
 
 @dataclass(frozen=True)
@@ -208,13 +208,27 @@ def product_name(c) -> Column:
 # ---- row projection ----------------------------------------------------------------------------
 
 def sheet_order(profile: DataFrame) -> DataFrame:
-    """Rank of the workbook by name, for the sequence number of its rows."""
-    books = profile.select("workbook").distinct()  # one row per workbook, never per cell
-    return books.select("workbook", (F.row_number().over(Window.orderBy("workbook")) - 1).cast("bigint").alias("book"))
+    """Number of each workbook's first sheet, with workbooks in order of name.
+
+    A workbook takes as many numbers as its highest sheet index asks for.  Workbooks are
+    cut into ranges of names, whose totals are added up first, so that no task numbers all.
+    """
+    books = settle(
+        profile.groupBy("workbook").agg((F.max("sheet_idx") + 1).cast("bigint").alias("_n"))
+        .repartitionByRange("workbook").withColumn("_part", F.spark_partition_id())
+    )
+    parts = books.groupBy("_part").agg(F.sum("_n").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    starts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy("workbook").rowsBetween(Window.unboundedPreceding, -1)
+    return books.join(F.broadcast(starts), "_part").select("workbook", (F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("book"))
 
 
 def ordinal(book: Column, sheet_idx: Column, row: Column) -> Column:
-    return F.shiftleft(F.shiftleft(book, SHEET_BITS) + sheet_idx, ROW_BITS) + row
+    """Sequence number of a row; a number beyond its bits is an error, never another row's."""
+    number = book + sheet_idx
+    fits = number.between(0, (1 << SHEET_BITS) - 1) & row.between(0, (1 << ROW_BITS) - 1)
+    return F.when(fits, F.shiftleft(number, ROW_BITS) + row).otherwise(F.raise_error("a sheet or row number has too many bits").cast("bigint"))
 
 
 def project_rows(grid: DataFrame, profile: DataFrame, semantics: list[str]) -> DataFrame:
@@ -379,46 +393,63 @@ def feedback_fields(df: DataFrame) -> DataFrame:
 
 # ---- candidates for a focus or a product --------------------------------------------------
 
-def focus_candidates(grid: DataFrame, pack: HeaderPack = REVIEW_HEADERS, rows: int = 120, top: int = 20) -> DataFrame:
-    """Most frequent product, scene and keyword values near the top of each sheet."""
+def _within(rows: int | None) -> Column:
+    """Data rows of a sheet: all, or the first ``rows`` as a sample."""
+    below = F.col("row") > F.col("header_row")
+    return below if rows is None else below & (F.col("row") <= F.col("header_row") + rows)
+
+
+def focus_candidates(grid: DataFrame, pack: HeaderPack = REVIEW_HEADERS, rows: int | None = None, top: int = 20) -> DataFrame:
+    """The ``top`` most frequent product, scene and keyword values, with their position.
+
+    ``rows`` reads only so many rows of each sheet; all, when it is not given.
+    """
     profiles = settle(review_profile(grid, pack))
     profile = profiles.filter("candidate").join(sheet_order(profiles), "workbook")
     names = ("product_name", "scene_name", "keyword_source")
     entries = profile.select(*SHEET, "book", "sheet_idx", "header_row", F.explode("column_map").alias("semantic", "col"))
     entries = entries.filter(F.col("semantic").isin(*names))
-    # one row per sheet and column; at most three per sheet
+    step = F.when(F.col("semantic") == names[0], 0).when(F.col("semantic") == names[1], 1).otherwise(2)
+    entries = entries.groupBy(*SHEET, "col").agg(  # unique: two meanings may share a column
+        F.first("book").alias("book"), F.first("sheet_idx").alias("idx"), F.first("header_row").alias("header_row"),
+        F.collect_list(step).alias("steps"),
+    )
     values = (
-        grid.join(entries.drop("sheet_idx"), [*SHEET, "col"])
-        .filter((F.col("row") > F.col("header_row")) & (F.col("row") <= F.col("header_row") + rows))
-        .select(
-            T.strip("value").alias("name"),
-            F.struct("book", "sheet_idx", F.when(F.col("semantic") == names[0], 0).when(F.col("semantic") == names[1], 1).otherwise(2).alias("step"), "row").alias("seen"),
-        )
+        spread_join(grid.select(*SHEET, "row", "col", "value"), entries, [*SHEET, "col"], "inner").filter(_within(rows))
+        .select(T.strip("value").alias("name"), "book", "idx", "row", F.explode("steps").alias("step"))
         .filter(F.col("name") != "")
+        .select("name", F.struct("book", F.col("idx").alias("sheet_idx"), "step", "row").alias("seen"))
     )
     titles = profile.select(F.col("sheet").alias("name"), F.struct("book", "sheet_idx", F.lit(3).alias("step"), F.lit(0).alias("row")).alias("seen"))
     counts = values.unionByName(titles).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
-    return counts.orderBy(F.desc("n"), "seen").limit(top).select("name", "n")
+    first = counts.orderBy(F.desc("n"), "seen").limit(top)
+    return first.select("name", "n", F.row_number().over(Window.orderBy(F.desc("n"), "seen")).alias("position"))  # ``top`` rows
 
 
-def product_candidates(grid: DataFrame, pack: HeaderPack = RETURN_HEADERS, rows: int = 200) -> DataFrame:
-    """Model codes by where they are seen: workbook name, sheet names, product columns."""
+def product_candidates(grid: DataFrame, pack: HeaderPack = RETURN_HEADERS, rows: int | None = None) -> DataFrame:
+    """Model codes by where they are seen: workbook name, sheet names, product columns.
+
+    ``rows`` reads only so many rows of each sheet; all, when it is not given.
+    """
     profiles = settle(return_profile(grid, pack))
     profile = profiles.join(sheet_order(profiles), "workbook")
 
-    def rank(stage, sheet_idx, freq, pos):
-        return F.struct(F.col("book"), sheet_idx.cast("int").alias("s"), F.lit(stage).alias("stage"), (-freq).cast("bigint").alias("freq"), pos.cast("bigint").alias("pos"))
+    def rank(stage, sheet_idx, freq, row, pos):
+        return F.struct(
+            F.col("book"), sheet_idx.cast("int").alias("s"), F.lit(stage).alias("stage"), (-freq).cast("bigint").alias("freq"),
+            F.struct(row.cast("bigint").alias("row"), pos.cast("int").alias("p")).alias("pos"),
+        )
 
+    none = F.lit(0)
     books = profile.groupBy("workbook", "book").agg(F.first("workbook_products").alias("t"))
-    from_books = books.select(F.posexplode("t").alias("pos", "product"), "book").select("product", rank(0, F.lit(-1), F.lit(0), F.col("pos")).alias("r"))
-    from_names = profile.filter("candidate").select("book", "sheet_idx", F.posexplode("sheet_products").alias("pos", "product")).select("product", rank(1, F.col("sheet_idx"), F.lit(0), F.col("pos")).alias("r"))
+    from_books = books.select(F.posexplode("t").alias("pos", "product"), "book").select("product", rank(0, F.lit(-1), none, none, F.col("pos")).alias("r"))
+    from_names = profile.filter("candidate").select("book", "sheet_idx", F.posexplode("sheet_products").alias("pos", "product")).select("product", rank(1, F.col("sheet_idx"), none, none, F.col("pos")).alias("r"))
     entries = profile.filter("has_text").select(*SHEET, "book", F.col("sheet_idx").alias("idx"), "header_row", F.col("column_map")["product_name"].alias("col")).filter(F.col("col").isNotNull())
     tokens = (
-        grid.join(entries, [*SHEET, "col"])
-        .filter((F.col("row") > F.col("header_row")) & (F.col("row") <= F.col("header_row") + rows))
+        spread_join(grid.select(*SHEET, "row", "col", "value"), entries, [*SHEET, "col"], "inner").filter(_within(rows))
         .select("book", "idx", "row", F.posexplode(product_tokens("value")).alias("p", "product"))
-        .groupBy("book", "idx", "product").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("row") * 1000 + F.col("p")).alias("pos"))
-        .select("product", rank(2, F.col("idx"), F.col("n"), F.col("pos")).alias("r"))
+        .groupBy("book", "idx", "product").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "p")).alias("at"))
+        .select("product", rank(2, F.col("idx"), F.col("n"), F.col("at.row"), F.col("at.p")).alias("r"))
     )
     merged = from_books.unionByName(from_names).unionByName(tokens)
     return merged.groupBy("product").agg(F.min("r").alias("seen")).orderBy("seen").select("product", F.col("seen.stage").alias("stage"))
