@@ -1,5 +1,5 @@
 """Queries over the given tables, registered with their checks."""
 
-from earshot.showcase import cells, listings, pages, returns, reviews, threads
+from earshot.showcase import cells, files, listings, pages, returns, reviews, threads
 
-MODULES = (reviews, returns, listings, threads, cells, pages)
+MODULES = (reviews, returns, listings, threads, cells, pages, files)

@@ -43,6 +43,11 @@ REVIEW_HEADERS = HeaderPack(H.REVIEW_ALIASES, H.REVIEW_WEIGHTS, H.REVIEW_SCAN_RO
 RETURN_HEADERS = HeaderPack(H.RETURN_ALIASES, H.RETURN_WEIGHTS, H.RETURN_SCAN_ROWS)
 
 
+def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    """A stored grid of cells."""
+    return spark.read.schema(GRID).parquet(path)
+
+
 # ---- plain tabular sheets -------------------------------------------------------
 
 def rows_of(df: DataFrame) -> DataFrame:
