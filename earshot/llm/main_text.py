@@ -3,12 +3,13 @@
 A page is read into blocks, each with its path of tags and classes from the root.  Text length and
 punctuation are summed over the blocks of a path and divided by their number; both series are smoothed
 over neighbouring paths in page order and fused with the share of text outside links.  Paths above a
-fraction of the best fused ratio are content.  The content region is the deepest element that still
-holds most of their text; blocks inside it are the result, so that a short heading or paragraph of an
-article stays.  Menus, headers outside an article, footers, asides, forms, notices, adverts and reader
+fraction of the best fused ratio are content.  The content region is the deepest element that holds all
+of their blocks, or the article or main around it; all blocks inside it are the result, so that a short
+heading, a list of links or a lesser section of an article stays.  Menus, headers outside an article, footers, asides, forms, notices, adverts and reader
 comments, known by tag, role or class, are never part of it.
 
-Defined results: null and empty pages, and pages without text, give an empty string.  Tags are closed
+Defined results: null and empty pages, and pages without text, give an empty string; a page of nothing
+but links gives their text.  Tags are closed
 where HTML implies it; unknown end tags are ignored; a comment or script that never ends takes the rest
 of the page.  Repeated rows are read one by one and other columns stay as they are.
 """
@@ -180,28 +181,21 @@ def content_paths(blocks: list[Block], share: float) -> set[tuple[str, ...]]:
     return {p for p, x in zip(paths, fused, strict=True) if x >= share * fused.max() and x > 0}
 
 
-def extract(page: str | None, share: float = 0.3, most: float = 0.6) -> str:
+def extract(page: str | None, share: float = 0.3) -> str:
     """The main text of one page: blocks in page order, joined by line ends."""
     blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
     chosen = content_paths(blocks, share)
-    picked = [b for b in blocks if b.path in chosen]
-    if not picked:
-        return ""
-    depth, region = 0, blocks[0].chain[0].number
-    total = sum(len(b.text) for b in picked)
-    while True:  # go down while one element that holds blocks has most of the chosen text
-        below: dict[int, int] = {}
-        for b in picked:
-            if len(b.chain) > depth + 1 and b.chain[depth].number == region and b.chain[depth + 1].holds_blocks:
-                below[b.chain[depth + 1].number] = below.get(b.chain[depth + 1].number, 0) + len(b.text)
-        best = max(below, key=below.get, default=None)
-        if best is None or below[best] < most * total:
+    picked = [b for b in blocks if b.path in chosen] or blocks
+    depth = 0
+    while picked[0].chain[depth].tag not in ("article", "main"):  # go down while one element that holds blocks has all of the chosen text
+        below = {b.chain[depth + 1].number if len(b.chain) > depth + 1 else None for b in picked}
+        if len(below) > 1 or None in below or not picked[0].chain[depth + 1].holds_blocks:
             break
-        depth, region = depth + 1, best
-    inside = [b for b in blocks if len(b.chain) > depth and b.chain[depth].number == region]
-    return "\n".join(b.text for b in inside if b.path in chosen or b.linked < 0.6 * len(b.text))
+        depth += 1
+    region = picked[0].chain[depth].number
+    return "\n".join(b.text for b in blocks if len(b.chain) > depth and b.chain[depth].number == region)
 
 
 def with_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -269,6 +269,29 @@ def test_main_text(spark):
     assert main_text.with_main_text(rows.limit(0)).count() == 0
 
 
+WORDS = "many long words of a story, told at length. "
+WHOLE = [
+    # a wrapping div under the heading
+    (f"<article><h1>T</h1><div><p>{WORDS * 5}</p><p>{WORDS * 5}</p></div></article>", ["T", WORDS * 5, WORDS * 5]),
+    # a long list between paragraphs
+    (f"<body><article><p>intro</p><ul><li>{WORDS * 5}<li>{WORDS * 5}</ul><p>outro</p></article>", ["intro", WORDS * 5, WORDS * 5, "outro"]),
+    # sections of 65 and 35 %, the second of short paragraphs; a linked heading and a list of references
+    (
+        f"<main><article><section><h2><a href=x>Part one</a></h2><p>{WORDS * 13}</p></section><section class=more><h2>Two</h2><p>{WORDS * 7}</p>"
+        "<ul class=refs><li><a href=a>First source</a><li><a href=b>Second source</a></ul></section></article></main><footer>No</footer>",
+        ["Part one", WORDS * 13, "Two", WORDS * 7, "First source", "Second source"],
+    ),
+    # no article: chosen texts in two elements, with short blocks between them
+    (f"<body><nav>No</nav><div><div class=a><p>{WORDS * 9}</p></div><h3>Mid</h3><div class=b><p>{WORDS * 7}</p></div></div>", [WORDS * 9, "Mid", WORDS * 7]),
+    ("<article><h1><a href=x>Only a link</a></h1></article>", ["Only a link"]),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), WHOLE)
+def test_main_text_keeps_the_whole_article(page, want):
+    assert main_text.extract(page) == "\n".join(x.strip() for x in want)
+
+
 def test_main_text_of_the_table_is_the_article(spark):
     import html
 
