@@ -6,7 +6,8 @@ over neighbouring paths in page order and fused with the share of text outside l
 fraction of the best fused ratio are content.  The content region is the deepest element that holds all
 of their blocks, or the article or main around it; all blocks inside it are the result, so that a short
 heading, a list of links or a lesser section of an article stays.  Menus, headers outside an article, footers, asides, forms, notices, adverts and reader
-comments, known by tag, role or class, are never part of it.
+comments, known by tag, role or class, are never part of it.  A form, role or class only hints: it does not
+take out an article or main, nor what wraps them or nearly all of the page's text.
 
 Defined results: null and empty pages, and pages without text, give an empty string; a page of nothing
 but links gives their text.  Tags are closed
@@ -47,7 +48,7 @@ CLOSES = {
     "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "body": ("head",),
 }
 LIMITS = frozenset("ul ol dl table div section article td th body blockquote".split())
-FURNITURE = frozenset("nav footer aside form menu dialog".split())
+FURNITURE = frozenset("nav footer aside menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar"
@@ -55,6 +56,15 @@ HINTS = frozenset(
     " sharing social related recommended widget toolbar pagination pager login signup".split()
 )
 HEADER_HINTS = frozenset("header masthead topbar banner".split())
+COMMENT_HINTS = frozenset("comment comments disqus respond".split())
+#: Last parts of a class that say how a hint before them is laid out, and first parts that say what an element has or lacks.
+LAYOUT = frozenset(
+    "area bar block box button buttons column container content group holder inner item items left link links list outer panel right row section"
+    " slot top bottom wrap wrapper unit".split()
+)
+ABOUT = frozenset("has no not with without hide show".split())
+#: An element with this part of a page's text wraps the page.
+WRAPS = 0.8
 
 
 @dataclass
@@ -65,13 +75,17 @@ class Element:
     out: bool
     link: bool
     holds_blocks: bool = False
+    hint: str = ""
+    hinted: tuple[int, ...] = ()  # numbers of the elements with hints, from the root to this one
+    around: tuple[str, ...] = ()  # tags of the articles and mains around it
+    anchors: tuple[int, ...] = ()  # their numbers
 
 
 @dataclass
 class Block:
     path: tuple[str, ...]
     chain: list[Element]
-    parts: list[str] = field(default_factory=list)
+    parts: list[tuple[str, bool, tuple[int, ...]]] = field(default_factory=list)  # text, whether linked, elements with hints around it
     linked: int = 0
     text: str = ""
 
@@ -80,24 +94,73 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
 
-def _is_furniture(tag: str, raw: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element is page furniture, and its class as part of the path."""
+def _hints(names: str) -> set[str]:
+    """Words of classes and ids that may be hints: each whole token, and its last part that is not layout."""
+    found = set()
+    for token in names.split():
+        parts = [x.lower() for x in HINT.findall(token) if len(x) > 1]
+        found.add(token.lower())
+        if not ABOUT & set(parts):
+            while len(parts) > 1 and parts[-1] in LAYOUT:
+                parts.pop()
+            found.update(parts[-1:])
+    return found
+
+
+def _is_furniture(tag: str, raw: str, in_article: bool) -> tuple[bool, str, str]:
+    """Whether an element is page furniture, its kind of hint (empty for none), and its class as part of the path."""
     if tag in FURNITURE or tag in SKIPPED or (tag == "header" and not in_article):
-        return True, ""
+        return True, "", ""
+    hint = "form" if tag == "form" else ""
     if not raw.strip():
-        return False, ""
+        return False, hint, ""
     attrs = _attributes(raw)
     label = ".".join(sorted(attrs.get("class", "").split()))
-    hints = {h.lower() for h in HINT.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
+    if tag in ("html", "body"):
+        return False, "", label
+    hints = _hints(f"{attrs.get('class', '')} {attrs.get('id', '')}")
     hidden = "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "")) is not None
-    furniture = attrs.get("role", "").lower() in ROLES or bool(hints & HINTS) or (not in_article and bool(hints & HEADER_HINTS))
-    return (furniture or hidden) and tag not in ("html", "body"), label
+    if hints & COMMENT_HINTS:
+        hint = "comment"
+    elif attrs.get("role", "").lower() in ROLES or hints & HINTS or (not in_article and hints & HEADER_HINTS):
+        hint = hint or "class"
+    return hidden, hint, label
+
+
+def _taken_out(hinted: list[Element], anchors: list[Element], found: list[Block]) -> set[int]:
+    """Numbers of the elements that their hints take out.  Wrappers of the page or its article stay."""
+    sizes: dict[int, int] = {}
+    total = 0
+    for text, _, around in (part for b in found for part in b.parts):
+        n = len(text.strip())
+        total += n
+        for number in around:
+            sizes[number] = sizes.get(number, 0) + n
+    gone: set[int] = set()
+    for e in hinted:  # outer ones first
+        if gone & set(e.hinted):
+            continue
+        big = sizes.get(e.number, 0) >= WRAPS * total
+        holds = any(e.number in a.hinted for a in anchors)
+        apart = any(e.number not in a.hinted and a.number not in e.anchors and not gone & set(a.hinted) for a in anchors)
+        if "article" in e.around:
+            stays = big and e.hint != "comment"
+        elif e.tag in ("article", "main"):
+            stays = True
+        else:
+            stays = (holds or big) and not apart and not (e.around and e.hint == "comment")
+        if not stays:
+            gone.add(e.number)
+    left = any(text.strip() and not gone & set(around) for b in found for text, _, around in b.parts)
+    return gone if left else set()
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks outside furniture, in page order."""
     stack: list[Element] = [Element(0, "#", "#", False, False)]
     found: list[Block] = []
+    hinted: list[Element] = []
+    anchors: list[Element] = []
     current: Block | None = None
     number, at = 0, 0
     while at < len(page):
@@ -109,9 +172,7 @@ def blocks_of(page: str) -> list[Block]:
                     chain = [e for e in stack if e.tag in BLOCK or e.tag == "#"]
                     current = Block(tuple(e.label for e in chain), chain)
                     found.append(current)
-                text = entities.unescape(text)
-                current.parts.append(text)
-                current.linked += len(text.strip()) if stack[-1].link else 0
+                current.parts.append((entities.unescape(text), stack[-1].link, stack[-1].hinted))
             continue
         tag = (token["tag"] or token["tag2"] or "").lower()
         if not tag:
@@ -129,7 +190,7 @@ def blocks_of(page: str) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         if tag == "br" and current is not None:
-            current.parts.append(" ")
+            current.parts.append((" ", False, stack[-1].hinted))
         if tag in BLOCK:
             current = None
             _close_implied(stack, tag)
@@ -138,11 +199,23 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             continue
         number += 1
-        in_article = any(e.tag in ("article", "main") for e in stack)
-        out, label = (True, "") if stack[-1].out else _is_furniture(tag, raw, in_article)
-        stack.append(Element(number, tag, f"{tag}.{label}" if label else tag, out, tag == "a" or stack[-1].link))
+        up = stack[-1]
+        around, above = up.around, up.anchors
+        if up.tag in ("article", "main"):
+            around, above = (*around, up.tag), (*above, up.number)
+        out, hint, label = (True, "", "") if up.out else _is_furniture(tag, raw, bool(around))
+        element = Element(number, tag, f"{tag}.{label}" if label else tag, out, tag == "a" or up.link, hint=hint, hinted=up.hinted, around=around, anchors=above)
+        if hint and not out:
+            element.hinted = (*up.hinted, number)
+            hinted.append(element)
+        if tag in ("article", "main") and not out:
+            anchors.append(element)
+        stack.append(element)
+    gone = _taken_out(hinted, anchors, found) if hinted else set()
     for block in found:
-        block.text = " ".join("".join(block.parts).split())
+        parts = [(text, link) for text, link, around in block.parts if not gone.intersection(around)]
+        block.text = " ".join("".join(text for text, _ in parts).split())
+        block.linked = sum(len(text.strip()) for text, link in parts if link)
     return [b for b in found if b.text]
 
 

@@ -292,6 +292,28 @@ def test_main_text_keeps_the_whole_article(page, want):
     assert main_text.extract(page) == "\n".join(x.strip() for x in want)
 
 
+STORY = f"<h1>T</h1><p>{WORDS * 5}</p>"
+COMMENTS = f"<div id=comments class=comments-area><article class=comment-body><p>{WORDS * 50}</p></article></div>"
+WRAPPERS = [
+    f'<div class="content has-sidebar">{STORY}</div><div class="sidebar">No</div>',
+    f'<main class="no-sidebar">{STORY}</main>',
+    f'<article class="post comment-status-open">{STORY}</article>',
+    f'<div id="page-with-nav"><nav>No</nav><article>{STORY}</article></div>',
+    f'<form action=x><div class="ad-container">Buy, now.</div><article>{STORY}</article><footer>No</footer></form>',
+    f'<form action=x><div>{STORY}</div></form>',
+    f'<div class="widget"><article class="share">{STORY}</article></div>',
+    f'<body><div role=dialog>{STORY}</div>',
+    f'<main class=widget><article class=post>{STORY}</article>{COMMENTS}</main>',
+    f'<article>{STORY}<div class="related-items"><article>Teaser, no.</article></div></article><div class="newsletter"><article>Teaser.</article></div>{COMMENTS}',
+    f'<article>{STORY}<form>Name</form></article><div class="cookie-notice">{WORDS * 90}</div>',
+]
+
+
+@pytest.mark.parametrize("page", WRAPPERS)
+def test_main_text_in_wrappers_with_hints(page):
+    assert main_text.extract(page) == "T\n" + (WORDS * 5).strip()
+
+
 def test_main_text_of_the_table_is_the_article(spark):
     import html
 
