@@ -81,7 +81,7 @@ def holds(kind: str, match: Column) -> Column:
     """The check of a kind on a matched string."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     if kind == "ip":
-        return F.forall(F.split(match, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 255))
+        return F.forall(F.split(match, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
     if kind == "phone":

@@ -401,6 +401,15 @@ def test_personal_data_matches_patterns(spark):
     assert kinds[0].count("iban") == 1 and kinds[1].count("national") == 1
 
 
+def test_personal_data_of_long_address_parts(spark):
+    """Parts beyond the range of an int are no address; leading zeros do not count."""
+    texts = ["99999999999.1.1.1", "000000000001.1.1.1", "1.1.1.99999999999", "2147483648.1.1.1 and 1.2.3.4", "0000000000000.00000000255.1.1", "0000000256.1.1.1"]
+    rows = personal_data.with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    for r in rows.select("text", "pii", personal_data.masked(F.col("text"), F.col("pii")).alias("masked")).collect():
+        assert [(s.start, s.rank, s.end, s.kind) for s in r.pii if s.kind in KINDS] == base_spans(r.text), r.text
+        assert ("<IP>" in r.masked) == any(s[3] == "ip" for s in base_spans(r.text))
+
+
 def test_personal_data_query(spark, documents):
     texts = {r.doc_id: r.text for r in documents.collect()}
     for r in queries.op9_personal_data(spark, DATA).collect():
