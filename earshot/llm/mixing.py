@@ -80,16 +80,16 @@ def budgets(leaves: DataFrame, levels: list[str], weights: Mapping[str, Mapping[
 
 def mixed(
     docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], share: float, epochs: int = 4,
-    seed: int = 17, key: str = "doc_id", text: str = "text",
+    seed: int = 17, key: str = "doc_id", text: str = "text", row: str | None = None,
 ) -> DataFrame:
     """Per row of `docs`: the key, the levels, tokens and copies (how often the mix contains it).
 
     `levels` names the columns of the tree, root first; `weights` gives target weights by level and
     value; `share` is the size of the mix as a part of all tokens; no document occurs in more than
-    `epochs` epochs.
+    `epochs` epochs.  A column `row`, if named, is carried along.
     """
-    names = list(levels)
-    rows = docs.select(F.col(key).alias("doc_id"), *(_name(c.cast("string")).alias(n) for n, c in levels.items()), words(F.col(text)).alias("tokens"))
+    names, carried = list(levels), [F.col(f"`{row}`")] if row else []
+    rows = docs.select(*carried, F.col(key).alias("doc_id"), *(_name(c.cast("string")).alias(n) for n, c in levels.items()), words(F.col(text)).alias("tokens"))
     rows = staged(rows, "tokens")
     leaves = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
     plan = budgets(leaves, names, weights, share, epochs)
@@ -106,4 +106,4 @@ def mixed(
     inside = Window.partitionBy(*names, "range").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     done = placed.join(starts, [*names, "range"]).withColumn("upto", F.col("ahead") + F.sum("tokens").over(inside))
     copies = F.col("whole") + F.when(F.col("upto") <= F.col("left"), 1).otherwise(0)
-    return done.select("doc_id", *(F.when(F.col(n) != "\0", F.col(n)).alias(n) for n in names), "tokens", F.least(copies, F.lit(epochs)).cast("int").alias("copies"))
+    return done.select(*carried, "doc_id", *(F.when(F.col(n) != "\0", F.col(n)).alias(n) for n in names), "tokens", F.least(copies, F.lit(epochs)).cast("int").alias("copies"))

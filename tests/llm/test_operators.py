@@ -483,3 +483,19 @@ def test_pipeline_on_hard_rows(spark, hard):
         for name, stage in corpus_pipeline.STAGES:
             docs = common.staged(stage(spark, docs, DATA), name.replace(" ", "_"))
         assert docs.count() >= 0
+
+
+def test_pipeline_rows_with_null_and_repeated_ids(spark, hard):
+    more = [
+        (20, ROWS[7][1], "de", "src1"), (20, "another text under the same id, of no other kind", "en", "src1"), (21, "first of two texts under one id", "en", "src1"),
+        (21, "the second has nothing in common with it", "en", "src1"), (21, "the second has nothing in common with it", "en", "src1"), (None, "No id here", "en", "src1"),
+    ]
+    docs = hard.unionByName(spark.createDataFrame([(*r, len(r[1]), "a", "b", 1) for r in more], DOC))
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect())
+    assert got == Counter([r[:2] for r in [*ROWS[1:6], *ROWS[7:10], ROWS[11], *more[1:4], more[5]]])
+
+    texts = [(None if i % 2 else i // 6, f"text {i % 4}" + " word" * (i % 7), "en", "src1", 0, "a", "b", 1) for i in range(60)]
+    rows = common.staged(spark.createDataFrame(texts, DOC), "rows")
+    want = Counter((r.doc_id, r.tokens) for r in mixing.mixed(rows, queries.mix_levels(), queries.WEIGHTS, corpus_pipeline.SHARE, epochs=1).collect() if r.copies)
+    got = Counter((r.doc_id, len(r.text.split())) for r in corpus_pipeline.mix_sources(spark, rows, DATA).collect())
+    assert got == want and any(i is None for i, _ in got)
