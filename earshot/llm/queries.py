@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import inner_products, language, main_text, mixing, near_copies, nearest, packing, personal_data, quality, urls
+from earshot.llm import (
+    exact_copies, inner_products, language, main_text, mixing, near_copies, nearest, packing, personal_data, quality, repeats, spelling, urls,
+)
 from earshot.llm.common import held_out, table
 
 RULES = [urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/")]
@@ -85,11 +87,48 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), encoder())
 
 
+def op11_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_copies.exact_copies(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), one_in=97))
+
+
+def repeated(doc_id: Column, text: Column) -> Column:
+    """The text of a tenth of all documents, by crc32 of the id, as words that repeat from some word on."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def again(words: Column) -> Column:
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    # an array of one array, so that the words are found once and not for each word
+    words = F.array(F.regexp_extract_all(text, F.lit(mixing.WORD), 0))
+    return F.when(h % 10 == 0, F.get(F.transform(words, lambda w: F.when(F.size(w) > 0, again(w))), 0)).otherwise(text)
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeated(F.col("doc_id"), F.col("text")).alias("text"))
+    rows = repeats.with_runs(docs)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    best = repeats.most_repeated(F.col("runs"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * best["length"] / best["period"]).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language, op2_near_copies, op3_inner_products, op4_main_text, op5_nearest, op6_mixing, op7_urls, op8_quality,
-        op9_personal_data, op10_packing,
+        op9_personal_data, op10_packing, op11_exact_copies, op12_spelling, op13_repeats,
     )
 }
 
@@ -140,4 +179,8 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op6_mixing": _mix_sql(),
+    "op11_exact_copies": """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
 }
