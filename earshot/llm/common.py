@@ -5,11 +5,14 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,12 +61,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_sample(df: DataFrame, key: Column, most: int, seed: int = 7) -> DataFrame:
-    """About `most` rows, chosen by a hash of `key`; all rows when there are no more than `most`."""
-    rows = df.count()
-    if rows <= most:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int((1 << 30) * most / rows))
+def bounded_sample(df: DataFrame, keys: Sequence[str], most: int, seed: int = 7) -> DataFrame:
+    """`most` rows, those with the smallest hashes of `keys`; all rows when there are no more than `most`.
+
+    `keys` should tell rows apart (an id and a text), so that copies of a text are drawn one by one.  Hashes
+    are counted by their first 16 bits; only rows up to the range that fills the sample are sorted.
+    """
+    value = F.xxhash64(F.lit(seed), *keys)
+    part = F.shiftrightunsigned(value, 48)
+    upto, edge = 0, -1
+    for row in df.groupBy(part.alias("part")).count().orderBy("part").collect():  # 65,536 rows at most
+        upto, edge = upto + row["count"], row["part"]
+        if upto >= most:
+            break
+    return df.filter(part <= edge).orderBy(value, *keys).limit(most)
+
+
+def annotated(df: DataFrame, text: str, out: str, compute: Callable[[Iterator[list]], Iterator[dict[str, Sequence]]], without: Sequence[str] = ()) -> DataFrame:
+    """`df` with the columns of the schema `out`, computed from the values of the column `text`, batch by batch.
+
+    `compute` takes the batches' values and gives a sequence for each new column.  All other columns pass
+    as they are, whole numbers beside nulls too.  A column of `df` that has the name of a new one gives way
+    to it, as do those in `without`.
+    """
+    ship(df.sparkSession)
+    fields = StructType.fromDDL(out)
+    new = {n.lower() for n in [*fields.names, *without]}
+    kept = [c for c in df.columns if c.lower() not in new]
+    arrow = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: list[pa.RecordBatch] = []
+
+        def values() -> Iterator[list]:
+            for batch in batches:
+                passed.append(batch)
+                yield batch.column(batch.num_columns - 1).to_pylist()
+
+        for found in compute(values()):
+            batch = passed.pop()
+            added = [pa.array(found[f.name], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*kept, *fields.names])
+
+    schema = StructType([df.schema[c] for c in kept] + fields.fields)
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias(free_name(kept, "input"))).mapInArrow(run, schema)
 
 
 def free_name(taken: Iterable[str], wish: str) -> str:

@@ -7,8 +7,10 @@ the words, with a fixed cost for each change of language, labels spans; the lang
 wins, and its share of the letters is the score.
 
 Defined results: null text or text without a letter gives `und`, score 0 and no spans; with nothing to
-learn from, every text does.  Repeated rows are labelled one by one, ties between languages go to the
-name that sorts first, texts are read whole, and other columns of the input are never looked at.
+learn from, every text does.  Letters are what `str.isalpha` says, so numerals such as ½ are none.
+Repeated rows are labelled one by one, ties between languages go to the name that sorts first, texts are
+read whole, and other columns of the input are never looked at; those named lang_pred, score or spans give
+way to the result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import bounded_sample
+from earshot.llm.common import annotated, bounded_sample, free_name, ship
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -33,7 +35,9 @@ SCRIPTS = (
     (0x3400, 0x9FFF, 14), (0x20000, 0x2FA1F, 14),
 )
 SCRIPT_COUNT = 15
-WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that the class of word characters holds although they are no letters.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{re.escape(NUMERALS)}]+")
 SPANS = "array<struct<start:bigint,end:bigint,lang:string>>"
 CACHE = 150_000
 #: Words whose n-grams are scored at once.
@@ -62,13 +66,15 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 6000) -> DataFrame:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 6000) -> DataFrame:
     """Counts (lang, kind, item, n) of a language model; kind 'gram' by bucket, 'script' by script number.
 
-    `most` bounds the sample of labelled rows that is read, per fit and not per language.
+    `most` bounds the sample of labelled rows that is read, per fit and not per language; rows are drawn by
+    a hash of id and text.
     """
-    labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    sample = bounded_sample(labelled, F.col("text"), most)
+    ship(docs.sparkSession)
+    labelled = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
+    sample = bounded_sample(labelled, ["id", "text", "lang"], most).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams: dict[str, np.ndarray] = {}
@@ -117,19 +123,17 @@ def tag(docs: DataFrame, model: DataFrame, text: str = "text", switch: float = 1
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(Model(model.toPandas()))
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[list]) -> Iterator[dict]:
         known, found = held.value, {}
-        for batch in batches:
-            yield _label_batch(batch, known, found, text, switch)
+        for texts in batches:
+            yield _label_batch(texts, known, found, switch)
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInPandas(label, f"{out}, lang_pred string, score double, spans {SPANS}")
+    own = free_name(docs.columns, "read")  # the text itself stays
+    return annotated(docs.withColumn(own, F.col(f"`{text}`")), own, f"lang_pred string, score double, spans {SPANS}", label, [own])
 
 
-def _label_batch(batch: pd.DataFrame, model: Model, found: dict[str, np.ndarray], text: str, switch: float) -> pd.DataFrame:
+def _label_batch(texts: list[str | None], model: Model, found: dict[str, np.ndarray], switch: float) -> dict:
     """Label a batch.  Documents of like length are taken together, so many words at a time that memory stays bounded."""
-    texts = list(batch[text])
     out: list[tuple] = [(UNKNOWN, 0.0, [])] * len(texts)
     step: list[int] = []
     words: list[list[str]] = []
@@ -144,7 +148,7 @@ def _label_batch(batch: pd.DataFrame, model: Model, found: dict[str, np.ndarray]
             step, words, held = [], [], 0
     _label_step(step, words, texts, model, found, switch, out)
     names, scores, spans = zip(*out, strict=True) if out else ((), (), ())
-    return batch.assign(lang_pred=list(names), score=np.array(scores, float), spans=list(spans))
+    return {"lang_pred": list(names), "score": list(scores), "spans": list(spans)}
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
@@ -220,5 +224,5 @@ def viterbi(docs: list[np.ndarray], switch: float) -> list[np.ndarray]:
 def op1_language(docs: DataFrame, key: str = "doc_id", held: Column | None = None) -> DataFrame:
     """Fit on the rows that are not held out and label all rows: the key, held_out, lang_pred, score, spans."""
     rows = docs.select(F.col(key), "text", "lang", held.alias("held_out"))
-    fitted = train(rows.filter(~F.col("held_out")))
+    fitted = train(rows.filter(~F.col("held_out")), key)
     return tag(rows.select(key, "text", "held_out"), fitted).drop("text")

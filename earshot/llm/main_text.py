@@ -4,8 +4,10 @@ A page is read into blocks, each with its path of tags and classes from the root
 punctuation are summed over the blocks of a path and divided by their number; both series are smoothed
 over neighbouring paths in page order and fused with the share of text outside links.  Paths above a
 fraction of the best fused ratio are content.  The content region is the deepest element that holds all
-of their blocks, or the article or main around it; all blocks inside it are the result, so that a short
-heading, a list of links or a lesser section of an article stays.  Menus, headers outside an article, footers, asides, forms, notices, adverts and reader
+of their blocks, or the article or main around it.  Of an article or main all blocks are the result, so
+that a short heading, a list of links or a lesser section stays.  Of another region, the children that
+hold a chosen path are kept whole; a child without one is kept between them unless it is links only, and
+headings just before the first are kept; what else stands before or after them is dropped.  Menus, headers outside an article, footers, asides, forms, notices, adverts and reader
 comments, known by tag, role or class, are never part of it.  A form, role or class only hints: it does not
 take out an article or main, nor what wraps them or nearly all of the page's text.
 
@@ -19,13 +21,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from earshot.llm.common import annotated
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
@@ -48,6 +51,7 @@ CLOSES = {
     "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "body": ("head",),
 }
 LIMITS = frozenset("ul ol dl table div section article td th body blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 FURNITURE = frozenset("nav footer aside menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 HINTS = frozenset(
@@ -67,25 +71,34 @@ ABOUT = frozenset("has no not with without hide show".split())
 WRAPS = 0.8
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
+    """An open element.  Ancestors are links, so that a page may be nested as deep as it likes."""
+
     number: int
     tag: str
-    label: str
+    path: int
     out: bool
     link: bool
+    block: Element | None  # the block element it is, or is in
+    up: Element | None  # the block element around that
+    depth: int  # block elements around it
     holds_blocks: bool = False
     hint: str = ""
-    hinted: tuple[int, ...] = ()  # numbers of the elements with hints, from the root to this one
-    around: tuple[str, ...] = ()  # tags of the articles and mains around it
-    anchors: tuple[int, ...] = ()  # their numbers
+    hinted: Element | None = None  # the nearest element with a hint, itself included
+    outer: Element | None = None  # the element with a hint around a hinted one
+    around: int = 0  # articles and mains around it
+    in_article: bool = False
+    size: int = 0  # of a hinted element: text inside it, and articles and mains
+    anchors: int = 0
+    gone: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
-    chain: list[Element]
-    parts: list[tuple[str, bool, tuple[int, ...]]] = field(default_factory=list)  # text, whether linked, elements with hints around it
+    path: int
+    place: Element
+    parts: list[tuple[str, bool, Element | None]] = field(default_factory=list)  # text, whether linked, the nearest element with a hint
     linked: int = 0
     text: str = ""
 
@@ -127,37 +140,48 @@ def _is_furniture(tag: str, raw: str, in_article: bool) -> tuple[bool, str, str]
     return hidden, hint, label
 
 
-def _taken_out(hinted: list[Element], anchors: list[Element], found: list[Block]) -> set[int]:
-    """Numbers of the elements that their hints take out.  Wrappers of the page or its article stay."""
-    sizes: dict[int, int] = {}
+def _take_out(hinted: list[Element], anchors: list[Element], found: list[Block]) -> None:
+    """Mark the elements that their hints take out.  Wrappers of the page or its article stay."""
     total = 0
     for text, _, around in (part for b in found for part in b.parts):
-        n = len(text.strip())
-        total += n
-        for number in around:
-            sizes[number] = sizes.get(number, 0) + n
-    gone: set[int] = set()
+        total += len(text.strip())
+        if around:
+            around.size += len(text.strip())
+    for a in anchors:
+        if a.hinted:
+            a.hinted.anchors += 1
+    for e in reversed(hinted):  # inner ones first
+        if e.outer:
+            e.outer.size += e.size
+            e.outer.anchors += e.anchors
+    live = len(anchors)  # articles and mains outside what is taken out so far
     for e in hinted:  # outer ones first
-        if gone & set(e.hinted):
+        if e.outer and e.outer.gone:
+            e.gone = True
             continue
-        big = sizes.get(e.number, 0) >= WRAPS * total
-        holds = any(e.number in a.hinted for a in anchors)
-        apart = any(e.number not in a.hinted and a.number not in e.anchors and not gone & set(a.hinted) for a in anchors)
-        if "article" in e.around:
+        big = e.size >= WRAPS * total
+        apart = live > e.anchors + e.around
+        if e.in_article:
             stays = big and e.hint != "comment"
         elif e.tag in ("article", "main"):
             stays = True
         else:
-            stays = (holds or big) and not apart and not (e.around and e.hint == "comment")
+            stays = (e.anchors > 0 or big) and not apart and not (e.around and e.hint == "comment")
         if not stays:
-            gone.add(e.number)
-    left = any(text.strip() and not gone & set(around) for b in found for text, _, around in b.parts)
-    return gone if left else set()
+            e.gone = True
+            live -= e.anchors
+    if not any(text.strip() and not (around and around.gone) for b in found for text, _, around in b.parts):
+        for e in hinted:
+            e.gone = False
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks outside furniture, in page order."""
-    stack: list[Element] = [Element(0, "#", "#", False, False)]
+    root = Element(0, "#", 0, False, False, None, None, 0)
+    root.block = root
+    stack: list[Element] = [root]
+    opened: Counter[str] = Counter()
+    paths: dict[tuple[int, str], int] = {}
     found: list[Block] = []
     hinted: list[Element] = []
     anchors: list[Element] = []
@@ -166,21 +190,20 @@ def blocks_of(page: str) -> list[Block]:
     while at < len(page):
         token = TOKEN.match(page, at)
         at = token.end()
+        top = stack[-1]
         if text := token["text"]:
-            if not stack[-1].out:
+            if not top.out:
                 if current is None:
-                    chain = [e for e in stack if e.tag in BLOCK or e.tag == "#"]
-                    current = Block(tuple(e.label for e in chain), chain)
+                    current = Block(top.block.path, top.block)
                     found.append(current)
-                current.parts.append((entities.unescape(text), stack[-1].link, stack[-1].hinted))
+                current.parts.append((entities.unescape(text), top.link, top.hinted))
             continue
         tag = (token["tag"] or token["tag2"] or "").lower()
         if not tag:
             continue
         if token["end"] or token["end2"]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                del stack[depth:]
+            if opened[tag]:
+                _close(stack, opened, next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             if tag in BLOCK:
                 current = None
             continue
@@ -190,41 +213,56 @@ def blocks_of(page: str) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         if tag == "br" and current is not None:
-            current.parts.append((" ", False, stack[-1].hinted))
+            current.parts.append((" ", False, top.hinted))
         if tag in BLOCK:
             current = None
-            _close_implied(stack, tag)
-            for e in stack:
+            _close_implied(stack, opened, tag)
+            for e in reversed(stack):  # whatever holds an element that holds blocks is marked already
+                if e.holds_blocks:
+                    break
                 e.holds_blocks = True
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             continue
         number += 1
         up = stack[-1]
-        around, above = up.around, up.anchors
-        if up.tag in ("article", "main"):
-            around, above = (*around, up.tag), (*above, up.number)
+        anchor = up.tag in ("article", "main")
+        around, in_article = up.around + anchor, up.in_article or up.tag == "article"
         out, hint, label = (True, "", "") if up.out else _is_furniture(tag, raw, bool(around))
-        element = Element(number, tag, f"{tag}.{label}" if label else tag, out, tag == "a" or up.link, hint=hint, hinted=up.hinted, around=around, anchors=above)
+        element = Element(number, tag, up.path, out, tag == "a" or up.link, up.block, up.up, up.depth, False, hint, up.hinted, None, around, in_article)
+        if tag in BLOCK:
+            key = (up.block.path, f"{tag}.{label}" if label else tag)
+            element.path = paths.setdefault(key, len(paths) + 1)
+            element.block, element.up, element.depth = element, up.block, up.block.depth + 1
         if hint and not out:
-            element.hinted = (*up.hinted, number)
+            element.outer, element.hinted = up.hinted, element
             hinted.append(element)
         if tag in ("article", "main") and not out:
             anchors.append(element)
         stack.append(element)
-    gone = _taken_out(hinted, anchors, found) if hinted else set()
+        opened[tag] += 1
+    if hinted:
+        _take_out(hinted, anchors, found)
     for block in found:
-        parts = [(text, link) for text, link, around in block.parts if not gone.intersection(around)]
+        parts = [(text, link) for text, link, around in block.parts if not (around and around.gone)]
         block.text = " ".join("".join(text for text, _ in parts).split())
         block.linked = sum(len(text.strip()) for text, link in parts if link)
     return [b for b in found if b.text]
 
 
-def _close_implied(stack: list[Element], tag: str) -> None:
+def _close(stack: list[Element], opened: Counter[str], depth: int) -> None:
+    for e in stack[depth:]:
+        opened[e.tag] -= 1
+    del stack[depth:]
+
+
+def _close_implied(stack: list[Element], opened: Counter[str], tag: str) -> None:
     """A block start tag closes an open paragraph, a list item the item before, and so on."""
     for names, limits in ((("p",), LIMITS - {"blockquote"}), (CLOSES.get(tag, ()), LIMITS - {"td", "th"} if tag in ("tr", "td", "th", "tbody") else LIMITS)):
+        if not any(opened[name] for name in names):
+            continue
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
-                del stack[i:]
+                _close(stack, opened, i)
                 if names == ("p",) or tag not in ("tr", "tbody"):
                     break
             elif i < len(stack) and stack[i].tag in limits:
@@ -239,9 +277,9 @@ def smoothed(values: np.ndarray) -> np.ndarray:
     return (framed[:-2] + 2 * framed[1:-1] + framed[2:]) / 4
 
 
-def content_paths(blocks: list[Block], share: float) -> set[tuple[str, ...]]:
+def content_paths(blocks: list[Block], share: float) -> set[int]:
     """Paths whose fused ratio reaches `share` of the best."""
-    paths: dict[tuple[str, ...], list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for b in blocks:
         held = paths.setdefault(b.path, [0, 0, 0, 0])
         for i, x in enumerate((len(b.text), len(PUNCTUATION.findall(b.text)), 1, min(b.linked, len(b.text)))):
@@ -254,6 +292,46 @@ def content_paths(blocks: list[Block], share: float) -> set[tuple[str, ...]]:
     return {p for p, x in zip(paths, fused, strict=True) if x >= share * fused.max() and x > 0}
 
 
+def _region(picked: list[Block]) -> Element:
+    """The deepest element that holds all chosen blocks, or the outermost article or main around them all, as far as it holds blocks."""
+    region = picked[0].place
+    inside = {region.number}  # elements known to lie in the region: none is walked over twice
+    for b in picked[1:]:
+        at = b.place
+        while at.number not in inside:
+            if at.depth >= region.depth:
+                inside.add(at.number)
+                at = at.up
+            else:
+                region = region.up
+                inside.add(region.number)
+    while region.up and not region.holds_blocks:
+        region = region.up
+    above = region
+    while above := above.up:
+        if above.tag in ("article", "main"):
+            region = above
+    return region
+
+
+def _parts(blocks: list[Block], region: Element) -> list[int | None]:
+    """The number of the child of `region` that each block is in: 0 for its own text, None for blocks outside it."""
+    known: dict[int, int | None] = {region.number: 0}
+
+    def part(place: Element) -> int | None:
+        way = []
+        while place.number not in known and place.depth > region.depth:
+            way.append(place)
+            place = place.up
+        found = known.get(place.number)
+        for e in reversed(way):
+            found = e.number if found == 0 else found
+            known[e.number] = found
+        return found
+
+    return [part(b.place) for b in blocks]
+
+
 def extract(page: str | None, share: float = 0.3) -> str:
     """The main text of one page: blocks in page order, joined by line ends."""
     blocks = blocks_of(page) if page else []
@@ -261,24 +339,30 @@ def extract(page: str | None, share: float = 0.3) -> str:
         return ""
     chosen = content_paths(blocks, share)
     picked = [b for b in blocks if b.path in chosen] or blocks
-    depth = 0
-    while picked[0].chain[depth].tag not in ("article", "main"):  # go down while one element that holds blocks has all of the chosen text
-        below = {b.chain[depth + 1].number if len(b.chain) > depth + 1 else None for b in picked}
-        if len(below) > 1 or None in below or not picked[0].chain[depth + 1].holds_blocks:
-            break
-        depth += 1
-    region = picked[0].chain[depth].number
-    return "\n".join(b.text for b in blocks if len(b.chain) > depth and b.chain[depth].number == region)
+    region = _region(picked)
+    parts = _parts(blocks, region)
+    held = [i for i, part in enumerate(parts) if part is not None]
+    if region.tag not in ("article", "main") and chosen:
+        keep = {parts[i] for i in held if blocks[i].path in chosen}
+        hits = [i for i in held if blocks[i].path in chosen]
+        first, last = hits[0], hits[-1]
+        length, linked = Counter(), Counter()
+        for i in held:
+            length[parts[i]] += len(blocks[i].text)
+            linked[parts[i]] += min(blocks[i].linked, len(blocks[i].text))
+        # a part without a chosen path stays if it lies between chosen ones and is not links only, or is a heading just before
+        head = first
+        while head and parts[head - 1] is not None and blocks[head - 1].place.tag in HEADINGS:
+            head -= 1
+        held = [i for i in held if parts[i] in keep or head <= i < first or (first < i < last and linked[parts[i]] < WRAPS * length[parts[i]])]
+    return "\n".join(blocks[i].text for i in held)
 
 
 def with_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """`pages` with the main text of the column `html` in the column `out`, in place of `html`."""
-    kept = [c for c in pages.columns if c not in (html, out)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in kept)
+    """`pages` with the main text of the column `html` in the column `out`, in place of `html` and of an own column `out`."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [extract(x) for x in batch[html]]
-            yield batch.drop(columns=html).assign(**{out: texts})[[*kept, out]]
+    def read(batches: Iterator[list]) -> Iterator[dict]:
+        for texts in batches:
+            yield {out: [extract(x) for x in texts]}
 
-    return pages.select(*(F.col(f"`{c}`") for c in kept), html).mapInPandas(read, f"{schema}, `{out}` string" if kept else f"`{out}` string")
+    return annotated(pages, html, f"`{out}` string", read, [html])

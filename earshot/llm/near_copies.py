@@ -7,12 +7,15 @@ agreement (2^-BITS) to an estimate of the similarity.  Candidates whose estimate
 threshold are confirmed on their full sets.
 
 Groups are never expanded into all pairs.  Equal sets are one node.  Each node is first compared with one
-pivot of its buckets; a bucket whose nodes are then in one component needs no more work.  In the others,
-nodes outside the bucket's largest component are compared with the bucket in chunks, inside tasks: first
-each one's best partner is confirmed; at last each is taken to every component in which some partner
-passes the estimate, and tried there against all members.  So every link between components that shares
-a band is confirmed or refused, and pairs that are tried do not become rows.  With 40 bands of 5 rows a pair of similarity 0.8
-shares no band with probability 1e-7.
+pivot of its buckets.  Then, while components still merge, each node outside the largest component of a
+bucket meets a new pivot of that component, one pair a node and round.  What is left, buckets of several
+components, is compared whole, in blocks: a row holds up to `CHUNK` nodes of a bucket with their
+signatures, and pairs are tried inside the task.  A pair is looked at only in the first bucket it shares.
+Nodes with a likely partner there come again with their full sets, and a block returns the links that
+join its components, at most one less than it has components.  A bucket of more nodes has several blocks;
+those of nodes outside the largest component meet all of them.  So pairs of blocks become rows, pairs of
+documents never do, and every link between components that shares a band is confirmed or refused.  With
+40 bands of 5 rows a pair of similarity 0.8 shares no band with probability 1e-7.
 
 Defined results: null and empty texts and texts without words have no set (n_shingles 0), are linked with
 nothing and are kept.  A text of fewer words than the width is one shingle.  Rows with a null id take no
@@ -27,16 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import staged
+from earshot.llm.common import ship, staged
 
 BANDS, ROWS, BITS = 40, 5, 4
 HASHES = BANDS * ROWS
 #: Standard deviations that an estimate may fall below the threshold.
 SLACK = 5.2
-CHUNK = 1024
+#: Nodes of a block, and hashes of their sets (8 bytes each).
+CHUNK, ELEMENTS = 1024, 1 << 20
+MEMBER = ("doc_id", "comp", "n", "sig", "bands")
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 _rng = np.random.default_rng(20240607)
@@ -118,20 +124,26 @@ def least_estimate(percent: int) -> float:
 def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """doc_id, n, k1, k2 (hash of the whole set), sig, bands of every row."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k1, k2, sigs, bands = [], [], [], [], []
-            for row in batch["text"]:
-                items = shingle_set(row, width)
+            for row in batch.column("text"):
+                items = shingle_set(row.as_py(), width)
                 n.append(len(items))
                 k1.append(int(items.sum(dtype=np.uint64).astype(np.int64)))
                 k2.append(int(_mixed(items * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).astype(np.int64)))
                 band, sig = signature(items) if len(items) else (None, None)
                 sigs.append(None if sig is None else sig.tobytes()), bands.append(band)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "k1": k1, "k2": k2, "sig": sigs, "bands": bands})
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                    pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n", "k1", "k2", "sig", "bands"],
+            )
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(make, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sig binary, bands array<bigint>")
+    return rows.mapInArrow(make, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sig binary, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -159,59 +171,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
-def confirmed_in_components(found: DataFrame, comp: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between a document and another component, for candidates (a, comp).
-
-    A component's members are dealt into chunks, once each; each candidate visits every chunk of its
-    component.  All sets of a chunk meet in a task, so that pairs are tried there and never become rows;
-    a task returns at most one link for each visitor.
-    """
-    sizes = comp.groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    asked = found.select("comp").distinct()
-    own = F.pmod(F.xxhash64("doc_id"), "chunks")
-    stay = comp.join(asked, "comp", "left_semi").join(sizes, "comp").select("comp", own.alias("own"), F.lit(False).alias("visits"), "doc_id")
-    visit = found.join(sizes, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("own"), F.lit(True).alias("visits"), F.col("a").alias("doc_id"))
-    rows = stay.unionByName(visit).join(nodes.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
-    least = least_estimate(percent)
-
-    def compare(group: pd.DataFrame) -> Iterator[tuple[int, int]]:
-        ids, items = group["doc_id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in group["items"]]
-        sigs = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
-        visits = group["visits"].to_numpy()
-        here = np.flatnonzero(~visits)
-        for x in np.flatnonzero(visits):
-            est = agreement(np.broadcast_to(sigs[x], (len(here), sigs.shape[1])), sigs[here])
-            order = here[np.argsort(-est)[: int((est >= least).sum())]]
-            y = next((y for y in order if similar(items[x], items[y], percent)), None)
-            if y is not None:
-                yield int(ids[x]), int(ids[y])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in grouped(batches, ["comp", "own"]):
-            yield pd.DataFrame(compare(group), columns=["a", "b"]).astype("int64")
-
-    ordered = rows.select("comp", "own", "visits", "doc_id", "sig", "items").repartition("comp", "own").sortWithinPartitions("comp", "own")
-    return ordered.mapInPandas(run, "a bigint, b bigint")
-
-
-def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of rows that come ordered by `keys`, whatever the batches."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        values = batch[keys].to_numpy()
-        cut = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
-        if held and len(batch) and (held[-1][keys].to_numpy()[-1] != values[0]).any():
-            yield pd.concat(held, ignore_index=True)
-            held = []
-        for lo, hi in zip(np.append(0, cut), np.append(cut, len(batch)), strict=True):
-            if held and lo:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(batch.iloc[lo:hi])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, of sorted distinct values."""
     if percent * max(len(one), len(other)) > 100 * min(len(one), len(other)) or not len(one):
@@ -242,80 +201,157 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("doc_id", "comp")
 
 
-def _partners(mixed: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidates between components of a bucket, compared in chunks inside tasks.
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """`comp` (doc_id, comp) after more links between its components; only their labels are joined up."""
+    ends = links.join(comp.select(F.col("doc_id").alias("a"), F.col("comp").alias("x")), "a").join(comp.select(F.col("doc_id").alias("b"), F.col("comp").alias("y")), "b")
+    labels = components(ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    labels = labels.select(F.col("doc_id").alias("comp"), F.col("comp").alias("new"))
+    return staged(comp.join(labels, "comp", "left").select("doc_id", F.coalesce("new", "comp").alias("comp")), "comp")
 
-    Rows outside the bucket's largest component visit every chunk of the bucket; the others stay in
-    their own.  With `best`, the pair (a, b) of each visitor and its best partner; else (a, comp) for
-    every component that has a partner of the visitor.
-    """
+
+def unsettled(placed: DataFrame, comp: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members (bucket, doc_id, n, comp) and the buckets (major, pivot, size and hashes of all and of the rest) that hold several components."""
+    where = placed.select("bucket", "doc_id", "n").join(comp, "doc_id")
+    pivot = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id"))["doc_id"]
+    parts = where.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("sum"), pivot.alias("pivot"))
+    top = F.max(F.struct("size", "comp", "pivot", "sum"))
+    stats = parts.groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("sum").alias("sum"), F.count("*").alias("parts"), top.alias("top")).filter("parts > 1")
+    return where, stats.select(
+        "bucket", "size", "sum", F.col("top.comp").alias("major"), F.col("top.pivot").alias("pivot"),
+        (F.col("size") - F.col("top.size")).alias("rest"), (F.col("sum") - F.col("top.sum")).alias("rest_sum"),
+    )
+
+
+def pivot_pairs(where: DataFrame, buckets: DataFrame, nodes: DataFrame, tried: DataFrame) -> DataFrame:
+    """(a, b): each node outside a bucket's largest component with the likeliest of the pivots it has not met."""
+    pairs = where.join(buckets.select("bucket", "major", "pivot"), "bucket").filter("comp <> major")
+    pairs = pairs.select("doc_id", "pivot", F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+    def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("x", "y"))
+            yield batch[["doc_id", "a", "b"]].assign(est=agreement(x, y) if len(batch) else [])
+
+    both = pairs.join(nodes.select("doc_id", F.col("sig").alias("x")), "doc_id").join(nodes.select(F.col("doc_id").alias("pivot"), F.col("sig").alias("y")), "pivot")
+    found = both.select("doc_id", "a", "b", "x", "y").mapInPandas(guess, "doc_id bigint, a bigint, b bigint, est double")
+    best = found.groupBy("doc_id").agg(F.max(F.struct("est", "a", "b")).alias("top"))
+    return best.select("top.*").distinct()
+
+
+class Block:
+    """Nodes of a bucket as arrays."""
+
+    def __init__(self, members: pa.StructArray, bucket: int) -> None:
+        self.ids, self.comp, self.n = (members.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "comp", "n"))
+        self.sigs = np.frombuffer(b"".join(members.field("sig").to_pylist()), np.uint8).reshape(len(members), -1)
+        self.bands = members.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(members), -1)
+        self.band = int(np.flatnonzero(self.bands[0] == bucket)[0])
+        if "items" in [f.name for f in members.type]:
+            self.items = [np.frombuffer(x, np.uint64) for x in members.field("items").to_pylist()]
+
+    def likely(self, other: Block, major: int, percent: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and estimates of likely pairs of a node outside `major` here and one of another component there.
+
+        A pair that shares an earlier band is left to that bucket; of a pair outside `major` one order is enough.
+        """
+        out = []
+        guests = np.flatnonzero(self.comp != major)
+        for part in np.array_split(guests, -(-len(guests) // 64) or 1):
+            ok = self.comp[part][:, None] != other.comp
+            ok &= (other.comp == major) | (self.ids[part][:, None] < other.ids)
+            sizes = np.minimum(self.n[part][:, None], other.n), np.maximum(self.n[part][:, None], other.n)
+            x, y = np.nonzero(ok & (100 * sizes[0] >= percent * sizes[1]))
+            est = agreement(self.sigs[part[x]], other.sigs[y])
+            x, y, est = part[x[est >= least]], y[est >= least], est[est >= least]
+            first = (self.bands[x] == other.bands[y]).argmax(1) == self.band
+            out.append((x[first], y[first], est[first]))
+        x, y, est = (np.concatenate(v) for v in zip(*out, strict=True))
+        return x, y, est
+
+
+def joining(one: Block, other: Block, major: int, percent: int, least: float) -> list[tuple[int, int]]:
+    """Confirmed links between two blocks that join their components, likeliest pairs first; no two join the same."""
+    parent: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = c = parent.get(parent[c], parent[c])
+        return c
+
+    links = []
+    x, y, est = one.likely(other, major, percent, least)
+    for at in np.argsort(-est, kind="stable").tolist():
+        i, j = int(x[at]), int(y[at])
+        p, q = top(int(one.comp[i])), top(int(other.comp[j]))
+        if p != q and similar(one.items[i], other.items[j], percent):
+            parent[p] = q
+            links.append((int(one.ids[i]), int(other.ids[j])))
+    return links
+
+
+def _blocks(rows: DataFrame, fields: tuple[str, ...], *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("members"))
+
+
+def _parts(column: pa.ListArray, buckets: list[int]) -> Iterator[Block]:
+    """A block for each row; batches hold few rows, each with its own nodes."""
+    for i, bucket in enumerate(buckets):
+        yield Block(column[i].values, bucket)
+
+
+def links_in_blocks(where: DataFrame, buckets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of the members of each bucket; see the module's text."""
     least = least_estimate(percent)
-    at = mixed.withColumn("minor", F.col("comp") != F.col("major"))
-    at = at.withColumn("chunks", F.ceil(F.col("size") / CHUNK)).withColumn("groups", F.ceil((F.col("size") - F.col("most")) / CHUNK))
-    at = at.withColumn("own", F.pmod(F.xxhash64("doc_id"), "chunks")).withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), "groups"))
-    cols = ("bucket", "own", "group", "visits", "minor", "doc_id", "comp", "n", "sig")
-    stay = at.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("visits", F.lit(False))
-    visit = at.filter("minor").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("visits", F.lit(True))
-    rows = stay.select(*cols).unionByName(visit.select(*cols))
-    place = ["bucket", "own", "group"]
+    split = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("sum") / ELEMENTS))
+    groups = F.greatest(F.ceil(F.col("rest") / CHUNK), F.ceil(F.col("rest_sum") / ELEMENTS))
+    buckets = buckets.select("bucket", "major", split.alias("chunks"), groups.alias("groups"))
+    full = (*MEMBER, "items")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("bucket").to_pylist()
+            for bucket, major, block in zip(names, batch.column("major").to_pylist(), _parts(batch.column("members"), names), strict=True):
+                x, y, _ = block.likely(block, major, percent, least)
+                ids = block.ids[np.union1d(x, y).astype(int)]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.full(len(ids), bucket)), "doc_id": pa.array(ids)})
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("bucket").to_pylist()
+            for major, block in zip(batch.column("major").to_pylist(), _parts(batch.column("members"), names), strict=True):
+                yield _links(joining(block, block, major, percent, least))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            keys = batch[place].to_numpy()
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            last = cut[-1] if len(cut) else 0
-            held = batch.iloc[last:]
-            yield _compare_groups(batch.iloc[:last], cut[:-1], least, percent, best)
-        if held is not None:
-            yield _compare_groups(held, np.zeros(0, int), least, percent, best)
-
-    ordered = rows.repartition(*place).sortWithinPartitions(*place)
-    found = ordered.mapInPandas(compare, "a bigint, b bigint, est double")
-    if not best:
-        return found.select("a", F.col("b").alias("comp")).distinct()
-    top = found.groupBy("a").agg(F.max(F.struct("est", "b")).alias("top"))
-    return top.select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct()
-
-
-def _compare_groups(rows: pd.DataFrame, cut: np.ndarray, least: float, percent: int, best: bool) -> pd.DataFrame:
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if len(rows):
-        ids, comp, n = (rows[c].to_numpy() for c in ("doc_id", "comp", "n"))
-        visits, minor = rows["visits"].to_numpy(), rows["minor"].to_numpy()
-        sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-        for lo, hi in zip(np.append(0, cut), np.append(cut, len(rows)), strict=True):
-            here = np.arange(lo, hi)
-            stay, guests = here[~visits[lo:hi]], here[visits[lo:hi]]
-            for part in np.array_split(guests, -(-len(guests) // 64) or 1):
-                if not len(part) or not len(stay):
-                    continue
-                ok = comp[part][:, None] != comp[stay]
-                sizes = np.minimum(n[part][:, None], n[stay]), np.maximum(n[part][:, None], n[stay])
-                ok &= 100 * sizes[0] >= percent * sizes[1]
-                x, y = np.nonzero(ok)
-                est = agreement(sigs[part[x]], sigs[stay[y]])
-                x, y, est = x[est >= least], y[est >= least], est[est >= least]
-                if best and len(x):
-                    by = np.lexsort((-est, x))
-                    first = by[np.unique(x[by], return_index=True)[1]]
-                    x, y, est = x[first], y[first], est[first]
-                if not best:  # two visitors' components need one direction only
-                    once = ~minor[stay[y]] | (comp[part[x]] > comp[stay[y]])
-                    x, y, est = x[once], y[once], est[once]
-                out.append((ids[part[x]], (ids if best else comp)[stay[y]], est))
-    a, b, est = (np.concatenate(v) for v in zip(*out, strict=True)) if out else ([], [], [])
-    frame = pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64), "est": np.asarray(est, float)})
-    return frame if best else frame.drop_duplicates(["a", "b"])
-
-
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+            names = batch.column("bucket").to_pylist()
+            both = zip(_parts(batch.column("left"), names), _parts(batch.column("members"), names), strict=True)
+            for major, (left, right) in zip(batch.column("major").to_pylist(), both, strict=True):
+                yield _links(joining(left, right, major, percent, least))
+
+    members = staged(where.join(buckets, "bucket").join(nodes.select("doc_id", "sig", "bands"), "doc_id"), "members")
+    small = members.filter("chunks = 1")
+    shown = _blocks(small, MEMBER, "bucket", "major").mapInArrow(likely, "bucket bigint, doc_id bigint")
+    shown = small.join(staged(shown, "likely"), ["bucket", "doc_id"]).join(sets, "doc_id")
+    links = _blocks(shown, full, "bucket", "major").mapInArrow(inside, "a bigint, b bigint")
+    large = members.filter("chunks > 1").join(sets, "doc_id").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
+    right = _blocks(large, full, "bucket", "major", "chunk")
+    left = large.filter("comp <> major").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), "groups"))
+    left = _blocks(left, full, "bucket", "chunks", "group").withColumnRenamed("members", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pairs = left.join(right, ["bucket", "chunk"]).select("bucket", "major", "left", "members")
+    return links.union(pairs.mapInArrow(across, "a bigint, b bigint")).distinct()
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, kept.
 
-    `width` words make a shingle; `percent` is the least similarity.  `rounds` of best partners come
+    `width` words make a shingle; `percent` is the least similarity.  At most `rounds` of pivots come
     before the full comparison; their number changes the work, not the result.
     """
+    ship(docs.sparkSession)
     rows = staged(signatures(docs, key, text, width), "signatures")
     live = rows.filter("doc_id is not null and n > 0")
     copies = staged(live.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "copies")
@@ -339,22 +375,16 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     pairs = staged(both.select("a", "b", "x", "y").mapInPandas(likely, "a bigint, b bigint").distinct(), "pairs")
     sets = staged(shingle_sets(docs, placed.select("doc_id").distinct(), key, text, width), "sets")
     links = staged(confirmed(pairs, sets, percent), "links")
-    tried = pairs
-    for turn in range(rounds + 1):
-        comp = components(links)
-        comp = staged(placed.select("doc_id").distinct().join(comp, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp")), "comp")
-        where = placed.select("doc_id", "n", "bucket").join(comp, "doc_id")
-        parts = where.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-        stats = parts.groupBy("bucket").agg(F.sum("size").alias("size"), F.count("*").alias("parts"), F.max(F.struct("size", "comp")).alias("top"))
-        stats = stats.filter("parts > 1").select("bucket", "size", F.col("top.size").alias("most"), F.col("top.comp").alias("major"))
-        mixed = where.join(stats, "bucket").join(nodes.select("doc_id", "n", "sig"), ["doc_id", "n"])
-        if turn < rounds:
-            pairs = staged(_partners(mixed, percent, best=True).join(tried, ["a", "b"], "left_anti"), "pairs")
-            tried, new = tried.union(pairs), confirmed(pairs, sets, percent)
-        else:
-            new = confirmed_in_components(staged(_partners(mixed, percent, best=False), "candidates"), comp, nodes, sets, percent)
-        links = links.union(staged(new, "links"))
-    comp = components(links)
+    alone = placed.select("doc_id", F.col("doc_id").alias("comp")).distinct()
+    comp, tried = merged(alone, links), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in range(rounds):
+        pairs = staged(pivot_pairs(*unsettled(placed, comp, turn), nodes, tried), "pairs")
+        links = staged(confirmed(pairs.filter(F.col("est") >= least).select("a", "b"), sets, percent), "links")
+        if not links.limit(1).count():
+            break
+        comp, tried = merged(comp, links), tried.union(pairs.select("a", "b"))
+    where, buckets = unsettled(placed, comp, rounds)
+    comp = merged(comp, staged(links_in_blocks(where, buckets, nodes, sets, percent), "links"))
     named = copies.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
     comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -24,11 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import staged
+from earshot.llm.common import ship, staged
 
 SIZE = 2048
 END = 1
@@ -87,20 +87,22 @@ class Encoder:
 def pieces(docs: DataFrame, encoder: Encoder, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], encoder.documents([t or "" for t in batch["text"]]), strict=True):
+            for at, ids in enumerate(encoder.documents([t or "" for t in batch.column("text").to_pylist()])):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, SIZE):
                     part = ids[4 * start : 4 * (start + SIZE)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": batch["doc_id"].dtype} if len(out) else {})
+                    rows.append((at, start, len(part) // 4, zlib.crc32(part), total))
+            owner, *columns = zip(*rows, strict=True) if rows else [()] * 5
+            ids = batch.column("doc_id").take(pa.array(owner, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, PIECE)
+    ship(docs.sparkSession)
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECE)
 
 
 def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +136,10 @@ def packed(docs: DataFrame, encoder: Encoder, key: str = "doc_id", text: str = "
     groups = max(1, -(-rows.count() // group))
     dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups)))
 
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row")
-        bins, offsets = first_fit_decreasing(part["length"].to_numpy(), SIZE)
-        return part.drop(columns="row").assign(sequence_id=(part["group"].to_numpy() << BIN_BITS) + bins, offset=offsets).drop(columns="group")
+    def fill(part: pa.Table) -> pa.Table:
+        part = part.sort_by("row")
+        bins, offsets = first_fit_decreasing(part.column("length").to_numpy(), SIZE)
+        sequence = (part.column("group").to_numpy() << BIN_BITS) + bins
+        return part.drop_columns(["row", "group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("group").applyInPandas(fill, f"{PIECE}, sequence_id bigint, offset bigint")
+    return dealt.groupBy("group").applyInArrow(fill, f"{PIECE}, sequence_id bigint, offset bigint")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import bounded_sample
+from earshot.llm.common import annotated, bounded_sample, free_name, ship
 
 BUCKETS = 1 << 17
 FEATURES = 2 * BUCKETS
@@ -97,9 +97,15 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> np.ndarra
     return np.append(vectors @ toward, bias[1] - bias[0]).astype(np.float32)
 
 
-def train(labelled: DataFrame, most: int = 4000) -> DataFrame:
-    """One row `weights` (binary) fitted to (text, quality).  `most` bounds the sample of labelled rows."""
-    sample = bounded_sample(labelled.filter("quality in (0, 1)").select("text", "quality"), F.col("text"), most)
+def train(labelled: DataFrame, most: int = 4000, key: str = "doc_id") -> DataFrame:
+    """One row `weights` (binary) fitted to (text, quality).
+
+    `most` bounds the sample of labelled rows, drawn by a hash of id (if there is one) and text, so that copies
+    of a text are drawn one by one.
+    """
+    ship(labelled.sparkSession)
+    keys = [key, "text", "quality"] if key in labelled.columns else ["text", "quality"]
+    sample = bounded_sample(labelled.filter("quality in (0, 1)").select(*keys), keys, most).select("text", "quality")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"text": [], "quality": []}), *batches])
@@ -111,21 +117,20 @@ def train(labelled: DataFrame, most: int = 4000) -> DataFrame:
 
 
 def scored(docs: DataFrame, model: DataFrame, text: str = "text", least: float = 0.7) -> DataFrame:
-    """`docs` with score and predicted; `model` is the one row that `train` returns."""
+    """`docs` with score and predicted, in place of own columns of these names; `model` is the one row that `train` returns."""
     row = model.first()
     weights = np.frombuffer(row["weights"], np.float32) if row else np.zeros(FEATURES + 1, np.float32)
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[list]) -> Iterator[dict]:
         found: dict[str, tuple[float, int, int]] = {}
-        for batch in batches:
-            value = np.array([_mean(t, held.value, found) for t in batch[text]], float)
+        for texts in batches:
+            value = np.array([_mean(t, held.value, found) for t in texts], float)
             score = 1 / (1 + np.exp(-(value + float(held.value[-1]))))
-            yield batch.assign(score=score, predicted=(score >= least).astype(np.int32))
+            yield {"score": score, "predicted": (score >= least).astype(np.int32)}
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInPandas(run, f"{schema}, score double, predicted int")
+    own = free_name(docs.columns, "read")  # the text itself stays
+    return annotated(docs.withColumn(own, F.col(f"`{text}`")), own, "score double, predicted int", run, [own])
 
 
 def _mean(text: str | None, weights: np.ndarray, found: dict[str, tuple[float, int, int]]) -> float:

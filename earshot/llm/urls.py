@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earshot.llm.common import annotated, free_name, ship
+
 ORDER = 4
 #: Hash buckets of the counts of one model: the bound of its size.
 BUCKETS = 1 << 18
@@ -119,8 +121,9 @@ def scores(urls: list[str], models: dict[bool, np.ndarray]) -> np.ndarray:
 
 
 def judged(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
-    """`pages` with host, path, rule, url_score, verdict."""
+    """`pages` with host, path, rule, url_score, verdict, in place of own columns of these names."""
     spark = pages.sparkSession
+    ship(spark)
     host, path = host_and_path(F.col(url))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "url_score")]
     rows = pages.select(*(F.col(f"`{c}`") for c in kept), host.alias("host"), path.alias("path"))
@@ -135,18 +138,17 @@ def judged(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     both = counts["accepted"].nunique() == 2
     held = spark.sparkContext.broadcast(models)
 
-    def score(df: DataFrame, column: str, name: str) -> DataFrame:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch.assign(**{name: scores([u or "" for u in batch[column]], held.value)})
+    def score(df: DataFrame, column: str) -> DataFrame:
+        def run(batches: Iterator[list]) -> Iterator[dict]:
+            for part in batches:
+                yield {"url_score": scores([u or "" for u in part], held.value)}
 
-        return df.mapInPandas(run, f"{schema}, `{name}` double")
+        own = free_name(df.columns, "read")  # the url itself stays
+        return annotated(df.withColumn(own, F.col(f"`{column}`")), own, "url_score double", run, [own])
 
-    limit = _threshold(score(labelled.filter(out), "url", "url_score")) if both else float("-inf")
+    limit = _threshold(score(labelled.filter(out), "url")) if both else float("-inf")
     final = F.coalesce("verdict", F.when(F.col("url_score") >= limit, "allow").otherwise("block"))
-    return score(rows, url, "url_score").withColumn("verdict", final)
+    return score(rows, url).withColumn("verdict", final)
 
 
 def _threshold(scored: DataFrame) -> float:

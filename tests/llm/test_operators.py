@@ -466,7 +466,7 @@ def test_pipeline_stages(spark, documents):
         if name == "language":
             assert docs.count() > 0.95 * before.count()
         if name == "near copies":
-            want = groups([(r.doc_id, r.text) for r in before.collect()], 2)
+            want = groups([(r.doc_id, r.text) for r in before.collect()], 5)
             assert sorted(r.doc_id for r in docs.collect()) == sorted({g for g in want.values()})
         if name == "personal data":
             texts = {r.doc_id: r.text for r in before.collect()}
@@ -482,7 +482,10 @@ def test_pipeline_on_hard_rows(spark, hard):
     for docs in (hard, hard.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             docs = common.staged(stage(spark, docs, DATA), name.replace(" ", "_"))
-        assert docs.count() >= 0
+            if name == "language":  # rows without a letter go, clashing columns stay
+                assert docs.columns == hard.columns and {r.doc_id for r in docs.collect()} <= {None, 1, 5, 6, 7, 9, 10}
+        if name == "packing":
+            assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def test_pipeline_rows_with_null_and_repeated_ids(spark, hard):
