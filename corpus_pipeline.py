@@ -31,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One document of each group of near copies (five words, 0.8): the one with the smallest id.
 
     A document is an id and a text: rows that repeat both are one document, of which one row stays; other
     texts under the same id are documents of their own.  Rows without an id all stay.
@@ -40,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # the same from the same content on every read, unlike a row number
     row = free_name(docs.columns, "row")
     rows = docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.col("text").isNull(), F.coalesce("text", F.lit("")))))
-    found = near_copies.near_copies(rows.filter(F.col(row).isNotNull()), key=row, width=2).select(F.col("doc_id").alias(row), "component_id").distinct()
+    found = near_copies.near_copies(rows.filter(F.col(row).isNotNull()), key=row).select(F.col("doc_id").alias(row), "component_id").distinct()
     first = found.join(rows.select(row, "doc_id").distinct(), row).groupBy("component_id").agg(F.min(F.struct("doc_id", row))[row].alias(row))
     stays, lone = free_name([*docs.columns, row], "stays"), free_name(docs.columns, "lone")  # rows without an id are never repeats of each other
     rest = rows.join(first.select(row, F.lit(True).alias(stays)), row, "left").filter(F.col(stays) | F.col("doc_id").isNull())
@@ -59,12 +59,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the mix, by target weights of domain, language and source.
 
-    Rows are numbered once and chosen by that number, so that null and repeated ids are rows of their own.
+    Texts are neither copied nor shuffled: each leaf's cut is found from ids and counts of tokens, and the
+    documents are filtered by it.  Rows with null and repeated ids are rows of their own.
     """
-    row = free_name(docs.columns, "row")
-    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    chosen = mixing.mixed(rows, mix_levels(), WEIGHTS, SHARE, epochs=1, row=row).filter("copies > 0").select(row)
-    return rows.join(chosen, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return mixing.selected(docs, mix_levels(), WEIGHTS, SHARE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
