@@ -35,14 +35,25 @@ SCRIPTS = (
     (0x3400, 0x9FFF, 14), (0x20000, 0x2FA1F, 14),
 )
 SCRIPT_COUNT = 15
-#: Numerals that the class of word characters holds although they are no letters.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{re.escape(NUMERALS)}]+")
+WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that the class of word characters holds although they are no letters, as blanks.
+NUMERALS = {i: " " for i, c in enumerate(map(chr, range(0x110000))) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
 SPANS = "array<struct<start:bigint,end:bigint,lang:string>>"
 CACHE = 150_000
 #: Words whose n-grams are scored at once.
 AT_ONCE = 8192
 STEP_WORDS = 1 << 17
+#: Tasks that count the sample.
+PARTS = 16
+
+
+def words_of(text: str) -> tuple[str, list[str]]:
+    """The words of a text, and the text they keep their places in: blanks stand for numerals that are no letters."""
+    found = WORD.findall(text)
+    if not all(map(str.isalpha, found)):
+        text = text.translate(NUMERALS)
+        found = WORD.findall(text)
+    return text, found
 
 
 def script_of(word: str) -> int:
@@ -74,7 +85,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """
     ship(docs.sparkSession)
     labelled = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    sample = bounded_sample(labelled, ["id", "text", "lang"], most).select("text", "lang")
+    sample = bounded_sample(labelled, ["id", "text", "lang"], most).select("text", "lang").repartition(PARTS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams: dict[str, np.ndarray] = {}
@@ -83,7 +94,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 held = grams.setdefault(name, np.zeros(BUCKETS + SCRIPT_COUNT, np.int64))
                 words: dict[str, int] = {}
                 for row in rows["text"]:
-                    for word in WORD.findall(row.lower()):
+                    for word in words_of(row.lower())[1]:
                         words[word] = words.get(word, 0) + 1
                 if not words:
                     continue
@@ -134,12 +145,13 @@ def tag(docs: DataFrame, model: DataFrame, text: str = "text", switch: float = 1
 
 def _label_batch(texts: list[str | None], model: Model, found: dict[str, np.ndarray], switch: float) -> dict:
     """Label a batch.  Documents of like length are taken together, so many words at a time that memory stays bounded."""
+    texts = [t or "" for t in texts]
     out: list[tuple] = [(UNKNOWN, 0.0, [])] * len(texts)
     step: list[int] = []
     words: list[list[str]] = []
     held = 0
-    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i] or "")):
-        own = WORD.findall(texts[i]) if texts[i] and model.langs else []
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+        texts[i], own = words_of(texts[i]) if model.langs else ("", [])
         if own:
             step.append(i), words.append(own)
             held += len(own)
