@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from earshot.functions import text as T
 from earshot.functions.rules import contains_any
+from earshot.operators.skew import settle
 from earshot.packs import returns as RP, reviews as VP
 
 DUPLICATE = "duplicate"
@@ -24,15 +25,25 @@ def is_symbols_only(t: Column) -> Column:
     return (t != "") & ~t.rlike(KEY_CHAR)
 
 
-def is_low_information(t: Column, pack=VP) -> Column:
-    """Nothing but a filler word, whatever stands around its letters.
+def is_one_of(t: Column, keys) -> Column:
+    """Whether nothing but one of the ``keys`` is left of a lower-case text when only key characters count.
 
-    The key is only built for texts with fewer key characters than the longest
-    filler; the pattern that tells them apart stops early in a long text.
+    The key is only built for texts with no more key characters than the longest
+    of them; the pattern that tells them apart stops early in a long text.
     """
-    longest = max(map(len, pack.FILLERS))
+    longest = max(map(len, keys))
     long = t.rlike(f"(?:{KEY_CHAR}{NO_KEY_CHAR}*+){{{longest + 1}}}")
-    return ~t.rlike(KEY_CHAR) | F.when(long, False).otherwise(T.key(t).isin(*pack.FILLERS))
+    return F.when(long, False).otherwise(T.key(t).isin(*keys))
+
+
+def has_key(c) -> Column:
+    """Whether a text has any key character: ``key(c) != ""`` without building the key."""
+    return F.lower(T.text_of(c)).rlike(KEY_CHAR)
+
+
+def is_low_information(t: Column, pack=VP) -> Column:
+    """Nothing but a filler word, whatever stands around its letters."""
+    return ~t.rlike(KEY_CHAR) | is_one_of(t, pack.FILLERS)
 
 
 def is_spam(t: Column, pack=VP) -> Column:
@@ -77,7 +88,7 @@ def filter_focus(df: DataFrame, focus: str | None) -> DataFrame:
 
 
 def is_invalid_feedback(c, pack=RP) -> Column:
-    return T.key(c).isin(*pack.INVALID_MARKERS)
+    return is_one_of(F.lower(T.text_of(c)), pack.INVALID_MARKERS)
 
 
 def is_true(c, pack=RP) -> Column:
@@ -86,19 +97,29 @@ def is_true(c, pack=RP) -> Column:
 
 # ---- duplicates -----------------------------------------------------------------
 
-def _first_of_each(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """Sequence numbers of the first row per key.
+def _digest(*keys: Column) -> Column:
+    return F.unhex(F.sha2(F.concat_ws("\u001f", *keys), 256)).alias("_k")
+
 
-    Only a digest and the number are shuffled, already reduced map-side, so a
-    key with very many copies costs no more than another one.
+def _copies(keyed: DataFrame) -> DataFrame:
+    """Sequence numbers of all rows of ``(_k, ord)`` but the first per key.
+
+    Digests and numbers are written once, so texts are read once for them.  Only keys
+    that repeat are joined back, and only copies come out: usually few rows, whose join
+    by the unique number moves no wide row.
     """
-    digest = F.sha2(F.concat_ws("\u001f", *keys), 256)
-    return df.select(digest.alias("_k"), "ord").groupBy("_k").agg(F.min("ord").alias("ord")).select("ord")
+    held = settle(keyed)
+    first = held.groupBy("_k").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return held.join(first.select("_k", "first"), "_k").filter("ord > first").select("ord")
+
 
+def _marked(df: DataFrame, copies: DataFrame) -> DataFrame:
+    return df.join(copies.withColumn("_copy", F.lit(True)), "ord", "left")
 
-def _is_first(df: DataFrame, winners: DataFrame) -> DataFrame:
-    # joined by the unique sequence number, never by the skewed key
-    return df.join(winners.withColumn("_first", F.lit(True)), "ord", "left")
+
+def _review_digest() -> Column:
+    name = T.first_filled("focus_name", "product_name", "scene_name")
+    return _digest(T.key(name), T.key("cleaned_comment"))
 
 
 def clean_reviews(df: DataFrame, pack=VP) -> DataFrame:
@@ -107,18 +128,23 @@ def clean_reviews(df: DataFrame, pack=VP) -> DataFrame:
     Duplicates are looked for among the rows that survive the other reasons; the
     first one in ``ord`` order stays.
     """
-    flagged = df.withColumn("drop_reason", drop_reason("cleaned_comment", pack))
-    name = T.first_filled("focus_name", "product_name", "scene_name")
-    winners = _first_of_each(
-        flagged.filter(F.col("drop_reason") == ""), [T.key(name), T.key("cleaned_comment")]
-    )
-    reason = F.when((F.col("drop_reason") == "") & F.col("_first").isNull(), DUPLICATE).otherwise(F.col("drop_reason"))
-    return (
-        _is_first(flagged, winners)
-        .withColumn("drop_reason", reason)
-        .withColumn("is_valid", F.col("drop_reason") == "")
-        .drop("_first")
+    reason = drop_reason("cleaned_comment", pack)
+    copies = _copies(df.filter(reason == "").select(_review_digest(), "ord"))
+    marked = _marked(df, copies).withColumn("drop_reason", F.when(F.col("_copy"), DUPLICATE).otherwise(reason))
+    return marked.withColumn("is_valid", F.col("drop_reason") == "").drop("_copy")
+
+
+def review_drop_counts(df: DataFrame, pack=VP) -> DataFrame:
+    """``drop_counts(clean_reviews(df))`` in one pass: copies are what each digest counts beyond its first row."""
+    reason = drop_reason("cleaned_comment", pack)
+    rows = df.select(reason.alias("drop_reason"), "focus_name", "product_name", "scene_name", "cleaned_comment")
+    by_key = rows.select("drop_reason", F.when(F.col("drop_reason") == "", _review_digest()).alias("_k")).groupBy("drop_reason", "_k").agg(F.count(F.lit(1)).alias("n"))
+    good = F.col("drop_reason") == ""
+    entries = F.array(
+        F.struct("drop_reason", F.when(good, F.lit(1)).otherwise(F.col("n")).alias("n")),
+        F.struct(F.lit(DUPLICATE).alias("drop_reason"), F.when(good, F.col("n") - 1).otherwise(0).alias("n")),
     )
+    return by_key.select(F.inline(entries)).groupBy("drop_reason").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -135,15 +161,10 @@ def clean_feedback(df: DataFrame) -> DataFrame:
     Invalid rows take no part.  Rows with nothing but a return reason are separate
     orders and are never duplicates of each other.
     """
-    has_text = (T.key("translated_comment") != "") | (T.key("raw_comment") != "")
-    reason_only = ~has_text & (T.key("return_reason") != "")
-    d = df.withColumn("_compare", F.col("is_valid_feedback") & ~reason_only)
-    winners = _first_of_each(d.filter("_compare"), [F.col("product_name"), T.key("cleaned_comment")])
-    return (
-        _is_first(d, winners)
-        .withColumn("is_duplicate", F.col("_compare") & F.col("_first").isNull())
-        .drop("_compare", "_first")
-    )
+    has_text = has_key("translated_comment") | has_key("raw_comment")
+    compared = F.col("is_valid_feedback") & (has_text | ~has_key("return_reason"))
+    copies = _copies(df.filter(compared).select(_digest(F.col("product_name"), T.key("cleaned_comment")), "ord"))
+    return _marked(df, copies).withColumn("is_duplicate", F.coalesce("_copy", F.lit(False))).drop("_copy")
 
 
 def kept_feedback(df: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def _(spark, d):
 
 @query("clean_drop_counts", FLAGGED + " SELECT drop_reason, count(*) AS n FROM flagged GROUP BY drop_reason")
 def _(spark, d):
-    return CL.drop_counts(cleaned(spark, d))
+    return CL.review_drop_counts(B.reviews(spark, d))
 
 
 @query("clean_funnel", FLAGGED + """ SELECT count(*) AS matched_rows_before_cleaning, count(*) FILTER (drop_reason = '') AS clean_rows,

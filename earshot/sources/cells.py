@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from earshot.functions import text as T
-from earshot.operators.clean import filter_focus, is_invalid_feedback
+from earshot.operators.clean import filter_focus, has_key, is_invalid_feedback
 from earshot.operators.returns import is_quality_risk, is_user_reason, severity
 from earshot.operators.skew import settle, spread_join
 from earshot.packs import headers as H, returns as RP
@@ -383,7 +383,7 @@ def feedback_fields(df: DataFrame) -> DataFrame:
     Where a return sheet has a comment column (``text_expected``), a row needs free
     text: its reason code alone does not count.
     """
-    free = (T.key("translated_comment") != "") | (T.key("raw_comment") != "")
+    free = has_key("translated_comment") | has_key("raw_comment")
     with_reason = feedback_text("translated_comment", "raw_comment", "return_reason")
     without = feedback_text("translated_comment", "raw_comment", None)
     d = df.withColumn("cleaned_comment", F.when(F.col("text_expected"), without).otherwise(with_reason))
