@@ -90,14 +90,17 @@ def number_by(df: DataFrame, levels: list[Column], ord_col: str, out: str) -> Da
     )
 
 
-def carry_forward(df: DataFrame, group: str, pos: str, columns: list[str]) -> DataFrame:
+def carry_forward(df: DataFrame, group: str, pos: str, columns: list[str], narrow: DataFrame | None = None) -> DataFrame:
     """Fill nulls with the latest earlier value of the group, in ``pos`` order.
 
     A group of any size is cut into blocks of positions: the last value of each
     block is handed to the following blocks, then blocks are filled on their own.
+    ``narrow`` may hold ``group``, ``pos`` and ``columns`` of the same rows, stored: the
+    last values are then read from it and ``df`` is evaluated once.
     """
-    d = df.withColumn("_blk", F.shiftright(F.col(pos), BLOCK_BITS))
-    tails = d.groupBy(group, "_blk").agg(
+    block = F.shiftright(F.col(pos), BLOCK_BITS)
+    d = df.withColumn("_blk", block)
+    tails = (d if narrow is None else narrow.withColumn("_blk", block)).groupBy(group, "_blk").agg(
         *[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).alias("v"))))["v"].alias(f"_t_{c}") for c in columns]
     )
     earlier = Window.partitionBy(group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from earshot.functions import text as T
 from earshot.functions.rules import contains_any
-from earshot.operators.skew import carry_forward, spread_join
+from earshot.operators.skew import carry_forward, settle, spread_join
 from earshot.packs import threads as TP
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -151,80 +151,88 @@ def parse_posts(lines: DataFrame, pack=TP) -> DataFrame:
     A line is inside a post after a post marker and until the next heading or
     footer.  Author and role carry forward to later posts; a date is cleared by an
     author heading and by a post, the starter mark by a post.
+
+    The changes of state are few and short: they are stored without the lines, and the values
+    that each post sees are found among them alone.  So lines are read twice, once for the
+    changes and once for the text, and only the text of posts is gathered by post.
     """
     c = F.col
-    s = T.strip("line")
-    number = F.regexp_extract(c("s"), MARKER, 1)
-    d = lines.select("thread_id", "pos", "line", s.alias("s"))
-    is_marker = number != ""
-    loose_marker = c("s").rlike(r"^\*\s+\[#\d+\]\(")
-    is_head = c("s").startswith("#### ")
-    is_footer = c("s").startswith("### Similar threads") | F.contains(c("s"), F.lit("[You must log in or register to reply here.]"))
-    d = d.select(
-        "*",
-        F.when(is_marker, 1).when(is_head | is_footer | loose_marker, 0).alias("state"),
-        is_marker.alias("is_marker"), is_head.alias("is_head"),
-    )
-    # pass 1: inside a post or outside; the post a line belongs to
-    d = d.withColumn("post", F.when(c("is_marker"), c("pos")))
-    d = carry_forward(d, "thread_id", "pos", ["state", "post"])
-    outside = F.coalesce(c("state"), F.lit(0)) == 0
-    is_author = c("is_head") & (c("s").rlike(r"^#### \[[^\]]+\]") | ~c("s").startswith("#### Go to page")) & (F.length("s") > 5)
-    author = F.when(is_author, T.strip(F.coalesce(
-        F.nullif(F.regexp_extract("s", r"^#### \[([^\]]+)\]", 1), F.lit("")), F.regexp_extract("s", r"^#### (.+)$", 1))))
-    role = F.when(outside & c("s").rlike(r"^##### .+$"), T.strip(F.regexp_extract("s", r"^##### (.+)$", 1)))
+    marks = settle(lines.select("thread_id", "pos", *_changes(T.strip("line"))))
+    heads = _heads(marks)
+    state = marks.select("thread_id", "pos", "state", "post")
+    marked = lines.select("thread_id", "pos", "line", T.strip("line").alias("s"))
+    state_of, post_of = _states(c("s"))
+    marked = marked.withColumns({"state": state_of, "post": post_of})
+    inside = carry_forward(marked, "thread_id", "pos", ["state", "post"], narrow=state).filter((c("state") == 1) & (c("pos") != c("post")))
+    return _assemble(inside, heads, pack)
+
+
+def _states(s: Column) -> tuple[Column, Column]:
+    """Whether a stripped line opens (1) or closes (0) a post, and the position of the post it opens."""
+    is_marker = s.rlike(MARKER)
+    is_footer = s.startswith("### Similar threads") | F.contains(s, F.lit("[You must log in or register to reply here.]"))
+    closes = s.startswith("#### ") | is_footer | s.rlike(r"^\*\s+\[#\d+\]\(")
+    return F.when(is_marker, 1).when(closes, 0), F.when(is_marker, F.col("pos"))
+
+
+def _changes(s: Column) -> list[Column]:
+    """What a stripped line changes; null is no change.  Role, date and starter count outside of posts only."""
+    state, post = _states(s)
+    heading = F.coalesce(F.nullif(F.regexp_extract(s, r"^#### \[([^\]]+)\]", 1), F.lit("")), F.regexp_extract(s, r"^#### (.+)$", 1))
+    is_author = s.startswith("#### ") & (s.rlike(r"^#### \[[^\]]+\]") | ~s.startswith("#### Go to page")) & (F.length(s) > 5)
+    is_role = s.rlike(r"^##### .+$")
     date_line = r"^\*\s+\[([^\]#][^\]]*)\]\(([^)]+/post-\d+[^)]*)\)"
-    is_date = outside & c("s").rlike(date_line)
-    plain = ~c("s").rlike(r"^##### .+$") & ~is_date & ~is_author
+    is_date = s.rlike(date_line)
+    is_starter = ~is_role & ~is_date & ~is_author & F.contains(s, F.lit("Thread Starter"))
+    return [
+        state.alias("state"), post.alias("post"), F.when(is_author, T.strip(heading)).alias("author"),
+        F.when(is_role, T.strip(F.regexp_extract(s, r"^##### (.+)$", 1))).alias("role"),
+        F.when(is_date, T.strip(F.regexp_extract(s, date_line, 1))).alias("date"), F.when(is_starter, "1").alias("starter"),
+        F.when(s.rlike(MARKER), F.regexp_extract(s, MARKER, 1).cast("int")).alias("post_no"),
+        F.when(s.rlike(MARKER), F.regexp_extract(s, MARKER, 2)).alias("post_url"),
+    ]
+
+
+HEAD = ("post_no", "post_url", "author", "role", "date", "starter")
+
+
+def _heads(marks: DataFrame) -> DataFrame:
+    """Per post: the values it sees.  Only lines that change something take part."""
+    c = F.col
+    some = marks.filter("state IS NOT NULL OR role IS NOT NULL OR date IS NOT NULL OR starter IS NOT NULL")
+    some = carry_forward(some.withColumn("now", c("state")), "thread_id", "pos", ["now"])
+    outside = F.coalesce(c("now"), F.lit(0)) == 0
+    is_marker = c("post").isNotNull()
     # a cleared value is the empty text
-    d = d.select(
-        "thread_id", "pos", "line", "s", "post", "is_marker", (~outside & ~c("is_marker")).alias("inside"),
-        author.alias("author"), role.alias("role"),
-        F.when(is_author, "").when(is_date, T.strip(F.regexp_extract("s", date_line, 1))).alias("date"),
-        F.when(outside & plain & F.contains(c("s"), F.lit("Thread Starter")), "1").alias("starter"),
-    )
-    def before(value):
-        return F.when(~c("is_marker"), value)
-
-    # pass 2: a marker must see the values as they were just before it
-    shifted = d.select(
-        "thread_id", (c("pos") * 2).alias("p2"), F.struct("pos", "line", "s", "post", "is_marker", "inside").alias("row"),
-        before(c("author")).alias("author"), before(c("role")).alias("role"),
-        before(c("date")).alias("date"), before(c("starter")).alias("starter"),
+    seen = some.select(
+        "thread_id", (c("pos") * 2).alias("at"), "post", "post_no", "post_url", "author", F.when(outside, c("role")).alias("role"),
+        F.when(c("author").isNotNull(), "").when(outside, c("date")).alias("date"), F.when(outside, c("starter")).alias("starter"),
     )
-    clears = d.filter("is_marker").select(
-        "thread_id", (c("pos") * 2 + 1).alias("p2"), F.lit(None).cast(shifted.schema["row"].dataType).alias("row"),
-        F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("role"), F.lit("").alias("date"), F.lit("0").alias("starter"),
-    )
-    filled = carry_forward(shifted.unionByName(clears), "thread_id", "p2", ["author", "role", "date", "starter"]).filter(c("row").isNotNull())
-    d = filled.select("thread_id", "row.*", "author", "role", "date", "starter")
-    return _assemble(d, number, pack)
+    # a post clears date and starter only after it has seen them
+    after = {"at": c("pos") * 2 + 1, "post": F.lit(None).cast("bigint"), "date": F.lit(""), "starter": F.lit("0")}
+    clears = marks.filter(is_marker).select("thread_id", *[after.get(n, F.lit(None).cast(seen.schema[n].dataType)).alias(n) for n in seen.columns[1:]])
+    return carry_forward(seen.unionByName(clears), "thread_id", "at", ["author", "role", "date", "starter"]).filter(is_marker).select("thread_id", "post", *HEAD)
 
 
-def _assemble(d: DataFrame, number: Column, pack) -> DataFrame:
+def _assemble(inside: DataFrame, heads: DataFrame, pack) -> DataFrame:
     c = F.col
     noise = c("s").startswith("Reactions:") | c("s").startswith("[You must log in")
-    text = F.when(c("inside") & ~noise, clean_line("line"))
+    text = F.when(~noise, clean_line("line"))
     text = F.when((text != "") & ~text.isin(*pack.BADGE_LINES), text)
     quote = text.startswith(">")
     body = ~quote & ~text.isin("OP", "D", "Thread Starter")
-    d = d.filter(c("post").isNotNull() & (c("is_marker") | c("inside"))).select(
-        "thread_id", "post", "pos", "is_marker",
-        F.when(c("is_marker"), number.cast("int")).alias("post_no"),
-        F.when(c("is_marker"), F.regexp_extract("s", MARKER, 2)).alias("post_url"),
-        *[F.when(c("is_marker"), c(n)).alias(n) for n in ("author", "role", "date", "starter")],
-        text.alias("t"), F.when(quote, T.strip(F.regexp_replace(text, "^>+", ""))).alias("q"), F.when(body, text).alias("b"),
-        F.when(c("inside") & ~noise, images_of(c("line"), pack)).alias("i"),
-    )
+    d = inside.select(
+        "thread_id", "post", "pos", text.alias("t"), F.when(quote, T.strip(F.regexp_replace(text, "^>+", ""))).alias("q"), F.when(body, text).alias("b"),
+        F.when(~noise, images_of(c("line"), pack)).alias("i"),
+    ).unionByName(heads, allowMissingColumns=True)  # posts without a line stay
 
     def lines(name):
         # the lines of one post become one text value
         rows = F.array_sort(F.collect_list(F.when(c(name).isNotNull(), F.struct("pos", c(name).alias("v")))))
         return T.strip(F.array_join(F.transform(rows, lambda r: r["v"]), "\n"))
 
-    head = {n: F.max(n).alias(n) for n in ("post_no", "post_url", "author", "role", "date", "starter")}
     posts = d.groupBy("thread_id", "post").agg(
-        *head.values(), lines("q").alias("quote_text"), lines("b").alias("post_text"), lines("t").alias("raw_text"),
+        *[F.max(n).alias(n) for n in HEAD], lines("q").alias("quote_text"), lines("b").alias("post_text"), lines("t").alias("raw_text"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("i") > 0, F.struct("pos", "i")))), lambda r: r["i"])).alias("_images"),
     )
     return posts.select(
