@@ -155,8 +155,10 @@ AHA_SCORES, RANK_SCORES = 10, 13  # aha scores are 0..9, rank scores 0..12
 
 
 def packed(high: Column, ord_col: Column) -> Column:
-    """One bigint that orders by ``high`` descending, then by sequence ascending."""
-    return F.shiftleft(high.cast("bigint"), ORD_BITS) - ord_col
+    """One bigint that orders by ``high`` descending, then by sequence ascending; a sequence number beyond its bits is an error."""
+    fits = ord_col.isNull() | ord_col.between(0, (1 << ORD_BITS) - 1)
+    refused = F.raise_error(F.lit(f"a sequence number is not between 0 and 2^{ORD_BITS}")).cast("bigint")
+    return F.when(fits, F.shiftleft(high.cast("bigint"), ORD_BITS) - ord_col).otherwise(refused)
 
 
 def image_score(pack=None) -> Column:

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earshot.functions import text as T
-from earshot.operators.skew import spread_join
+from earshot.operators.skew import number_read, spread_join
 from earshot.packs import listings as LP
 
-SMALL = 1 << 40  # sequence numbers of listings and views stay below this
-
-
 # ---- reviews seen in several views ---------------------------------------------
 
 def merge_reviews(views: DataFrame) -> DataFrame:
@@ -20,8 +17,7 @@ def merge_reviews(views: DataFrame) -> DataFrame:
     was read first.
     """
     def best(c, size):
-        score = F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint")) * SMALL - F.col("ord")
-        return F.max_by(c, score).alias(c)
+        return F.max_by(c, F.struct(F.coalesce(size, F.lit(0)), -F.col("ord"))).alias(c)
 
     def first(c):
         return F.min_by(c, "ord").alias(c)
@@ -44,6 +40,15 @@ def review_order() -> list[Column]:
     return [F.desc(F.coalesce("rating", F.lit(0.0))), F.collate("reviewId", "UNICODE")]
 
 
+def order_reviews(reviews: DataFrame) -> DataFrame:
+    """Reviews with their ``position`` in their product's output order, from 1.
+
+    One sort over all products: ranges are cut by the whole order, so a product with a third
+    of the reviews lies in many tasks.
+    """
+    return number_read(reviews.orderBy("asin", *review_order()), "asin", "position")
+
+
 def reviews_per_view(views: DataFrame) -> DataFrame:
     return views.groupBy("asin", "view_label").agg(F.count(F.lit(1)).alias("n"))
 

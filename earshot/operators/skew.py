@@ -90,6 +90,22 @@ def number_by(df: DataFrame, levels: list[Column], ord_col: str, out: str) -> Da
     )
 
 
+def number_read(df: DataFrame, group: str, out: str, part: Column | None = None) -> DataFrame:
+    """Number the rows of each ``group`` from 1 in the order in which they stand in ``df``.
+
+    Rows of a group must stand together within a ``part``, and parts must follow each other in the
+    group's order; a part is a partition unless given.  So a sorted table, or the blocks of a file,
+    are numbered without a window over rows: only the parts of a group are summed up.
+    """
+    part = F.spark_partition_id() if part is None else part
+    held = settle(df.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_id")))
+    parts = held.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_g", "_p", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_off"))
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))
+    return held.join(offsets, same).select(*df.columns, (F.col("_id") + F.col("_off")).alias(out))
+
+
 def carry_forward(df: DataFrame, group: str, pos: str, columns: list[str], narrow: DataFrame | None = None) -> DataFrame:
     """Fill nulls with the latest earlier value of the group, in ``pos`` order.
 

@@ -32,6 +32,17 @@ def _(spark, d):
     return CE.header_rows(CE.read_grid(spark, path), CE.REVIEW_HEADERS).select("workbook", "sheet", "header_row", "score")
 
 
+@query("csv_grid", """SELECT row_key, col, value FROM (SELECT CAST(doc_id AS VARCHAR) AS row_key, unnest([1, 2, 3, 4]) AS col,
+  unnest([CAST(doc_id AS VARCHAR), lang, text, source]) AS value FROM documents) WHERE value <> ''""")
+def _(spark, d):
+    path, c = new_path(spark), F.col
+    texts = B.read(spark, d, "documents").select(c("doc_id").cast("string"), "lang", "text", "source")
+    texts.write.options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    grid = CE.read_csv_grid(spark, path, columns=4, multiline=True)
+    keys = grid.filter("col = 1").select("workbook", "row", c("value").alias("row_key"))
+    return grid.join(keys, ["workbook", "row"]).select("row_key", "col", "value")
+
+
 @query("sheet_rows", """SELECT a, b, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS a,
   CASE WHEN event_id % 2 = 0 THEN user_id END AS b FROM events) WHERE a <> '' OR b IS NOT NULL GROUP BY a, b""")
 def _(spark, d):

@@ -252,6 +252,11 @@ def _(spark, d):
     return merged(spark, d).withColumn("images", F.size("images")).withColumn("views", T.list_text("sourceViews")).drop("sourceViews")
 
 
+@query("reviews_ordered", VIEW_SQL + " SELECT asin, reviewId, rating, row_number() OVER (PARTITION BY asin ORDER BY coalesce(rating, 0) DESC, reviewId) AS position FROM reviews")
+def _(spark, d):
+    return L.order_reviews(merged(spark, d).select("asin", "reviewId", "rating"))
+
+
 @query("reviews_per_view", VIEW_SQL + " SELECT asin, event_type AS view_label, count(*) AS n FROM v GROUP BY asin, event_type")
 def _(spark, d):
     return L.reviews_per_view(views(spark, d))

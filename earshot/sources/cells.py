@@ -9,11 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from earshot.functions import text as T
 from earshot.operators.clean import filter_focus, has_key, is_invalid_feedback
 from earshot.operators.returns import is_quality_risk, is_user_reason, severity
-from earshot.operators.skew import settle, spread_join
+from earshot.operators.skew import number_read, settle, spread_join
 from earshot.packs import headers as H, returns as RP
 
 GRID = "workbook string, sheet string, sheet_idx int, row int, col int, value string"
@@ -48,6 +49,25 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GRID).parquet(path)
 
 
+def read_csv_grid(spark: SparkSession, path: str, columns: int = 256, multiline: bool = False) -> DataFrame:
+    """The cells of csv files as a grid: a file is a workbook with one sheet, named like the file.
+
+    Files are split and read in parallel; rows are numbered over all blocks of their file.  Blank
+    lines are no rows and empty cells no cells.  A record of more than ``columns`` fields is an error.
+    With ``multiline`` a quoted cell may hold line breaks, and a file is read by one task.
+    """
+    names = [f"c{i}" for i in range(1, columns + 1)]
+    # the reader itself refuses records of more fields than ``maxColumns``
+    options = {"quote": '"', "escape": '"', "multiLine": multiline, "maxColumns": columns}
+    raw = spark.read.schema(StructType([StructField(n, StringType()) for n in names])).options(**options).csv(path)
+    cells = F.filter(F.array(*[F.struct(F.lit(i).alias("col"), F.col(n).alias("value")) for i, n in enumerate(names, 1)]), lambda x: x["value"] != "")
+    rows = raw.select(F.col("_metadata.file_path").alias("workbook"), F.col("_metadata.file_block_start").alias("block"), cells.alias("cells"))
+    numbered = number_read(rows, "workbook", "row", part=F.col("block"))
+    row = F.when(F.col("row") < 1 << ROW_BITS, F.col("row")).otherwise(F.raise_error(F.lit(f"a sheet of more than 2^{ROW_BITS} rows")).cast("bigint"))
+    sheet = F.regexp_replace(F.url_decode(F.replace(F.regexp_extract("workbook", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B"))), r"\.[^.]*$", "")
+    return numbered.select("workbook", sheet.alias("sheet"), F.lit(0).alias("sheet_idx"), row.cast("int").alias("row"), F.inline("cells"))
+
+
 # ---- plain tabular sheets -------------------------------------------------------
 
 def rows_of(df: DataFrame) -> DataFrame:

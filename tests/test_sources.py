@@ -1,6 +1,7 @@
 """Sheets of many workbooks, and saved files read one by one."""
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -44,3 +45,30 @@ def test_a_payload_of_one_file_is_read_whole(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"asin": "B2", "reviews": []}')
     found = FS.payload_reviews(FS.read_payloads(spark, str(tmp_path))).collect()
     assert [(r.asin, r.reviewId, r.rating) for r in found] == [("B1", "R1", 4.0), ("B1", "R2", None)]
+
+
+def test_csv_rows_are_numbered_over_all_blocks_of_a_file(spark, tmp_path):
+    lines = [f'{i},"a ""b"", {i}",,{"x" * (i % 50)}' for i in range(3000)]
+    (tmp_path / "first book.csv").write_text("Title only\n\nid,text,none,last\n" + "\n".join(lines))
+    (tmp_path / "b.csv").write_text("one\ntwo,2\n,,3\n")
+    (tmp_path / "empty.csv").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = CE.read_csv_grid(spark, str(tmp_path), columns=4)
+        cells = [(r.sheet, r.row, r.col, r.value) for r in got.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [("b", 1, 1, "one"), ("b", 2, 1, "two"), ("b", 2, 2, "2"), ("b", 3, 3, "3"), ("first book", 1, 1, "Title only")]
+    want += [("first book", 2, k, v) for k, v in enumerate(("id", "text", "none", "last"), 1)]
+    for i in range(3000):
+        want += [("first book", i + 3, k, v) for k, v in ((1, str(i)), (2, f'a "b", {i}'), (4, "x" * (i % 50))) if v]
+    assert sorted(cells) == sorted(want)
+    assert got.schema.simpleString() == spark.createDataFrame([], CE.GRID).schema.simpleString()
+
+
+def test_csv_cells_with_line_breaks_and_too_wide_records(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('1,"two\nlines"\n2,x\n')
+    assert sorted(tuple(r)[3:] for r in CE.read_csv_grid(spark, str(tmp_path), multiline=True).collect()) == [(1, 1, "1"), (1, 2, "two\nlines"), (2, 1, "2"), (2, 2, "x")]
+    for multiline in (False, True):
+        with pytest.raises((PySparkException, Py4JJavaError), match="out of bounds"):
+            CE.read_csv_grid(spark, str(tmp_path), columns=1, multiline=multiline).collect()
