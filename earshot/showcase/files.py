@@ -51,6 +51,14 @@ def _(spark, d):
     return CE.rows_of(sheet).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("sheet_renamed", """SELECT event_type AS "一级功能", count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""")
+def _(spark, d):
+    path, c = new_path(spark), F.col
+    B.read(spark, d, "events").select(c("event_type").alias("主要功能/主题"), "user_id").write.parquet(path)
+    table = CE.current_headings(spark.read.parquet(path))
+    return table.groupBy("一级功能").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
 @query("sheet_picked", SV.ORACLES["clean_kept_rows"])
 def _(spark, d):
     path, rows = new_path(spark), settle(SV.cleaned(spark, d))

@@ -15,7 +15,7 @@ from earshot.functions import text as T
 from earshot.operators.clean import filter_focus, has_key, is_invalid_feedback
 from earshot.operators.returns import is_quality_risk, is_user_reason, severity
 from earshot.operators.skew import number_read, settle, spread_join
-from earshot.packs import headers as H, returns as RP
+from earshot.packs import headers as H, returns as RP, reviews as VP
 
 GRID = "workbook string, sheet string, sheet_idx int, row int, col int, value string"
 SHEET = ["workbook", "sheet"]
@@ -76,6 +76,12 @@ def rows_of(df: DataFrame) -> DataFrame:
     return df.filter(F.exists(cells, lambda x: x.isNotNull() & (x != "")))
 
 
+def current_headings(df: DataFrame, pack=VP) -> DataFrame:
+    """Columns under older headings get today's; of columns that then share a heading the last one counts."""
+    last = {pack.LEGACY_HEADERS.get(c, c): c for c in df.columns}
+    return df.select(*[F.col(f"`{c}`").alias(name) for name, c in last.items()])
+
+
 def pick_sheet(names: list[str], requested: str | None = None) -> str:
     """Name of the table to read: the requested one, else tagged, cleaned, first."""
     if requested:

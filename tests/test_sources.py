@@ -72,3 +72,10 @@ def test_csv_cells_with_line_breaks_and_too_wide_records(spark, tmp_path):
     for multiline in (False, True):
         with pytest.raises((PySparkException, Py4JJavaError), match="out of bounds"):
             CE.read_csv_grid(spark, str(tmp_path), columns=1, multiline=multiline).collect()
+
+
+def test_older_headings_become_todays(spark):
+    old = spark.createDataFrame([("a", 1, "b")], ["功能/主题", "x", "主要功能/主题"])
+    got = CE.current_headings(old)
+    assert (got.columns, tuple(got.first())) == (["一级功能", "x"], ("b", 1))
+    assert CE.current_headings(got).columns == got.columns
