@@ -23,9 +23,10 @@ def apply_cache(df: DataFrame, cache: DataFrame, column: str, out: str, fallback
 
     Texts are met by digest, so the shuffle carries no long keys; a text that fills
     much of the table is handled by ``spread_join``.  Without a cache entry the
-    original text (or, with ``fallback="blank"``, nothing) is used.
+    original text (or, with ``fallback="blank"``, nothing) is used.  Of several answers
+    to a text the largest counts, the same one in every run.
     """
-    known = cache.select(F.sha2(T.collapse("text"), 256).alias("_k"), F.col("translated").alias("_v")).dropDuplicates(["_k"])
+    known = cache.groupBy(F.sha2(T.collapse("text"), 256).alias("_k")).agg(F.max("translated").alias("_v"))
     d = spread_join(df.withColumn("_k", F.sha2(T.collapse(column), 256)), known, ["_k"])
     rest = T.text_of(column) if fallback == "original" else F.lit("")
     return d.withColumn(out, F.coalesce("_v", rest)).drop("_k", "_v")
@@ -58,13 +59,14 @@ def profile_signature(version: str = "1") -> Column:
 
 
 def resolve_layers(profiles: DataFrame, cache: DataFrame | None = None, version: str = "1", pack=VP) -> DataFrame:
-    """Layer of every need: from the cache, else by ``layer_fallback``."""
+    """Layer of every need: from the cache (of several entries the largest), else by ``layer_fallback``."""
     d = profiles.withColumn("signature", profile_signature(version))
     own = layer_fallback("need", "feature", "secondary_need", "scene", "evidence", pack)
     if cache is None:
         known = F.lit(None).cast("string")
     else:
-        valid = cache.filter(F.col("layer").isin(*pack.LAYERS)).select("signature", F.col("layer").alias("_layer"), F.col("reason").alias("_reason"), F.col("source").alias("_source"))
+        entry = F.max(F.struct(F.col("layer").alias("_layer"), F.col("reason").alias("_reason"), F.col("source").alias("_source")))
+        valid = cache.filter(F.col("layer").isin(*pack.LAYERS)).groupBy("signature").agg(entry.alias("_entry")).select("signature", "_entry.*")
         d = d.join(valid, "signature", "left")
         known = F.col("_layer")
     d = d.withColumn("layer", F.coalesce(known, own))

@@ -1,4 +1,4 @@
-"""Order of reviews and numbers beyond their bits."""
+"""Order of reviews, numbers beyond their bits, caches that hold several answers."""
 
 import random
 
@@ -6,7 +6,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from earshot.operators import counts, listings
+from earshot.operators import counts, enrich, listings
+from earshot.packs import reviews
 
 
 def test_reviews_of_a_large_product_are_numbered_over_many_tasks(spark):
@@ -35,3 +36,20 @@ def test_the_longest_text_wins_at_any_sequence_number(spark):
 def test_a_sequence_number_beyond_its_bits_is_an_error(spark):
     with pytest.raises(PySparkException, match="sequence number"):
         spark.range(1).select(counts.packed(F.lit(1), F.lit(1 << 54))).collect()
+
+
+def test_of_several_cached_answers_one_counts(spark):
+    texts = spark.createDataFrame([(1, "hello  there"), (2, "unknown"), (3, "failed")], "id int, text string")
+    cache = spark.createDataFrame([("hello there", "a"), ("hello there", "b"), (" hello there", None), ("failed", None)], "text string, translated string")
+    got = {r.id: r.out for r in enrich.apply_cache(texts, cache, "text", "out").collect()}
+    assert got == {1: "b", 2: "unknown", 3: "failed"}
+
+
+def test_a_profile_stays_one_row_beside_several_cached_layers(spark):
+    profiles = spark.sql("SELECT 'n' AS need, 1L AS n, 'f' AS feature, 's' AS secondary_need, 'x' AS scene, array('e') AS evidence")
+    signature = profiles.select(enrich.profile_signature()).first()[0]
+    first, second = sorted(reviews.LAYERS)[:2]
+    rows = [(signature, first, "r", "model"), (signature, second, "q", "model"), (signature, "none", "z", "model")]
+    cache = spark.createDataFrame(rows, "signature string, layer string, reason string, source string")
+    got = enrich.resolve_layers(profiles, cache).collect()
+    assert [(r.layer, r.reason, r.source) for r in got] == [(second, "q", "model")]
