@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earshot.functions import text as T
+from earshot.operators.skew import small_side
 from earshot.packs import reviews as VP
 
 DIMS = ("feature", "secondary_need", "need", "scene", "signal", "polarity", "intensity", "emotion", "aha")
@@ -191,7 +192,7 @@ def representatives(tagged: DataFrame, by: str = "scene") -> DataFrame:
     best = tagged.groupBy(by).agg(F.max(packed(score, F.col("ord"))).alias("_best"))
     # undo the packing: ord = -best modulo 2**ORD_BITS
     winners = best.select(F.pmod(-F.col("_best"), F.lit(1 << ORD_BITS)).alias("ord"))
-    return tagged.join(F.broadcast(winners), "ord", "left_semi")  # one row per label
+    return tagged.join(small_side(winners), "ord", "left_semi")
 
 
 def evidence(tagged: DataFrame, k: int = 3, limit: int = 100, shortest: int = 18) -> DataFrame:
@@ -205,7 +206,7 @@ def evidence(tagged: DataFrame, k: int = 3, limit: int = 100, shortest: int = 18
     best = distinct.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select(
         F.pmod(-F.col("_p"), F.lit(1 << ORD_BITS)).alias("ord"), "pos"
     )
-    return d.select("need", "ord", "text").join(F.broadcast(best), "ord").select("need", "pos", "text")  # k rows per need
+    return d.select("need", "ord", "text").join(small_side(best), "ord").select("need", "pos", "text")
 
 
 def need_profiles(tagged: DataFrame, counts: DataFrame | None = None) -> DataFrame:

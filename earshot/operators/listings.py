@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earshot.functions import text as T
-from earshot.operators.skew import number_read, spread_join
+from earshot.operators.skew import label_join, number_read, settle, spread_join
 from earshot.packs import listings as LP
 
 # ---- reviews seen in several views ---------------------------------------------
@@ -141,14 +141,16 @@ def with_scenario(candidates: DataFrame, pack=LP) -> DataFrame:
 
 
 def scenarios(candidates: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """Numbered scenarios: most products first, then label in locale order.
+    """Numbered scenarios: most products first, then label in locale order, then by its characters.
 
-    Labels come from the fixed patterns and the search keywords of the run, so the
-    list that is numbered is short.  Its members are ``scenario_members``.
+    Search keywords become labels, so their number is open: the counts are sorted over
+    ranges, and a range is numbered from the sizes of those before it.  The members of
+    a scenario are ``scenario_members``.
     """
-    counted = candidates.groupBy("scenarioLabel").agg(F.count_distinct("asin").alias("candidateCount"))
-    w = Window.orderBy(F.desc("candidateCount"), F.collate("scenarioLabel", "UNICODE"))
-    d = counted.select(F.row_number().over(w).alias("scenarioId"), "scenarioLabel", "candidateCount")
+    counted = settle(candidates.groupBy("scenarioLabel").agg(F.count_distinct("asin").alias("candidateCount")))
+    ranked = counted.orderBy(F.desc("candidateCount"), F.collate("scenarioLabel", "UNICODE"), "scenarioLabel")
+    d = number_read(ranked.withColumn("_all", F.lit(0)), "_all", "scenarioId")
+    d = d.select(F.col("scenarioId").cast("int"), "scenarioLabel", "candidateCount")
     if excluded is None:
         return d.withColumn("kept", F.lit(True))
     out = excluded.select(F.col("scenario_id").alias("scenarioId")).distinct().withColumn("_out", F.lit(True))
@@ -157,7 +159,7 @@ def scenarios(candidates: DataFrame, excluded: DataFrame | None = None) -> DataF
 
 def scenario_members(candidates: DataFrame, numbered: DataFrame) -> DataFrame:
     """(scenarioId, scenarioLabel, asin), one row per product: no list grows with the data."""
-    return candidates.select("scenarioLabel", "asin").distinct().join(numbered.select("scenarioId", "scenarioLabel"), "scenarioLabel")
+    return label_join(candidates.select("scenarioLabel", "asin").distinct(), numbered.select("scenarioLabel", "scenarioId"), "scenarioLabel", "asin", "inner")
 
 
 def add_exclusions(numbered: DataFrame, earlier: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -168,7 +170,7 @@ def add_exclusions(numbered: DataFrame, earlier: DataFrame, wanted: DataFrame) -
 
 def select_products(candidates: DataFrame, numbered: DataFrame, top_n: int = 5) -> DataFrame:
     """All candidates with scenario, ``kept``, ``selectedForExecution`` and rank."""
-    d = candidates.join(numbered.select("scenarioLabel", "scenarioId", "kept"), "scenarioLabel", "left")
+    d = label_join(candidates, numbered.select("scenarioLabel", "scenarioId", "kept"), "scenarioLabel", "asin")
     order = candidate_order()
     best = d.filter("kept").orderBy(*order).limit(top_n)
     ranks = best.select("asin", F.row_number().over(Window.orderBy(*order)).alias("executionRank"))  # top_n rows
@@ -253,5 +255,25 @@ def product_image(products: DataFrame, files: DataFrame) -> DataFrame:
         F.regexp_extract(name, r"^(.+)\.[^.]+$", 1).alias("asin"), "path",
         F.array_position(kinds, F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("_rank"),
     ).filter(F.col("_rank") > 0)
-    best = f.groupBy("asin").agg(F.min_by("path", "_rank").alias("image_path"))
-    return products.join(best, "asin", "left")
+    # a product may have pictures in several folders: the smallest path of the first kind
+    best = f.groupBy("asin").agg(F.min(F.struct("_rank", "path"))["path"].alias("image_path"))
+    return spread_join(products, best, ["asin"])
+
+
+def picture_plan(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """Candidates with ``status`` of their picture, the file they have and the one to write.
+
+    ``failed`` without a product number or link; ``skipped`` if a file of an earlier run is named
+    after the product (``image_path``); else ``fetch``, into ``destination``, which is null while
+    the picture's address is unknown and the product's page has to be opened first.
+    """
+    known = product_image(candidates, files)
+    unusable = (T.text_of("asin") == "") | (T.text_of("productUrl") == "")
+    status = F.when(unusable, "failed").when(F.col("image_path").isNotNull(), "skipped").otherwise("fetch")
+    named = (F.col("status") == "fetch") & (T.text_of("imageUrl") != "")
+    return known.withColumn("status", status).withColumn("destination", F.when(named, F.concat("asin", T.url_extension("imageUrl"))))
+
+
+def pictures_to_fetch(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """Candidates without a picture from an earlier run."""
+    return picture_plan(candidates, files).filter("status = 'fetch'").select(*candidates.columns, "destination")

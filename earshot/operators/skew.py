@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+# Rows of a narrow side that may be broadcast, and parts into which a label's rows are cut beyond that.
+BROADCAST_ROWS, SALTS = 100_000, 32
+
 # Sequence numbers are cut into blocks of 2**BLOCK_BITS, which bounds the rows of
 # one block.
 BLOCK_BITS = 16
@@ -49,6 +52,28 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow side of a join on unique numbers: stored and counted, broadcast up to ``most`` rows, else left to a plain join."""
+    held = settle(df)
+    return F.broadcast(held) if held.limit(most + 1).count() <= most else held
+
+
+def label_join(left: DataFrame, labels: DataFrame, on: str, spread_by: str, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join rows with a narrow table that is unique on the label ``on``; a label may hold any share of the rows.
+
+    Up to ``most`` labels are broadcast.  Beyond that every label is repeated ``SALTS`` times and its rows
+    are dealt over the copies by a hash of ``spread_by``, so no task takes all rows of a label.  The result
+    is the same.  Rows with a null label match nothing; ``how`` is ``left`` or ``inner``.
+    """
+    names = [c for c in labels.columns if c != on]
+    held = settle(labels)
+    if held.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(held), on, how).select(*left.columns, *names)
+    copies = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, [on, "_salt"], how).select(*left.columns, *names)
+
+
 def border(df: DataFrame, names: list[str]) -> DataFrame:
     """Keep the optimizer from copying the rules of labels into later filters.
 

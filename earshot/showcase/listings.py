@@ -338,3 +338,40 @@ def _(spark, d):
     name = F.concat(F.lit("img/B"), F.col("p_partkey").cast("string"))
     files = p.select(F.explode(F.when(F.col("p_size") % 2 == 0, T.words(".webp", ".jpg", ".png", ".txt")).otherwise(T.words(".webp", ".png", ".gif"))).alias("x"), name.alias("n")).select(F.concat("n", "x").alias("path"))
     return L.product_image(products(spark, d).select("asin"), files)
+
+
+_PICTURES = """WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'B' || p_partkey END AS asin,
+  CASE WHEN p_partkey % 13 = 0 THEN '' ELSE 'https://shop.example.com/dp/B' || p_partkey END AS productUrl,
+  CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'https://img.example.com/a.b/' || p_partkey || '.PNG?size=2' ELSE 'https://img.example.com/' || p_partkey END AS imageUrl,
+  CASE p_size % 5 WHEN 0 THEN '.jpeg' WHEN 1 THEN '.png' END AS found FROM part),
+plan AS (SELECT *, CASE WHEN asin = '' OR productUrl = '' THEN 'failed' WHEN found IS NOT NULL THEN 'skipped' ELSE 'fetch' END AS status FROM c)"""
+
+
+def _pictures(spark, d):
+    """Products, some without a number, link or address, and the files of an earlier run: two kinds, one kind, or another one only."""
+    p = B.read(spark, d, "part")
+    key = F.col("p_partkey").cast("string")
+    wanted = p.select(
+        "p_partkey", F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.concat(F.lit("B"), key)).alias("asin"),
+        F.when(F.col("p_partkey") % 13 == 0, "").otherwise(F.concat(F.lit("https://shop.example.com/dp/B"), key)).alias("productUrl"),
+        F.when(F.col("p_partkey") % 4 == 0, "").when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("https://img.example.com/a.b/"), key, F.lit(".PNG?size=2")))
+        .otherwise(F.concat(F.lit("https://img.example.com/"), key)).alias("imageUrl"),
+    )
+    kinds = F.when(F.col("p_size") % 5 == 0, T.words(".webp", ".jpeg")).when(F.col("p_size") % 5 == 1, T.words(".png")).otherwise(T.words(".gif"))
+    return wanted, p.select(key.alias("k"), F.explode(kinds).alias("kind")).select(F.concat(F.lit("img/B"), "k", "kind").alias("path"))
+
+
+@query("picture_plan", _PICTURES + """ SELECT p_partkey, asin, status, CASE WHEN asin <> '' AND found IS NOT NULL THEN 'img/B' || p_partkey || found END AS image_path,
+  CASE WHEN status = 'fetch' AND imageUrl <> '' THEN asin || CASE WHEN p_partkey % 4 = 1 THEN '.png' ELSE '.jpg' END END AS destination FROM plan""")
+def _(spark, d):
+    return L.picture_plan(*_pictures(spark, d)).select("p_partkey", "asin", "status", "image_path", "destination")
+
+
+@query("pictures_to_fetch", _PICTURES + " SELECT p_partkey, asin, productUrl, imageUrl FROM plan WHERE status = 'fetch'")
+def _(spark, d):
+    return L.pictures_to_fetch(*_pictures(spark, d)).drop("destination")
+
+
+@query("picture_counts", _PICTURES + " SELECT status, count(*) AS n FROM plan GROUP BY status")
+def _(spark, d):
+    return L.picture_plan(*_pictures(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -124,10 +125,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """An element.  ``marks`` are the marks (bits) of its place that it has itself, ``under`` those of its ancestors."""
+
+    __slots__ = ("tag", "attrs", "classes", "children", "parent", "marks", "under")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.classes = frozenset((attrs.get("class") or "").split())
+        self.marks, self.under = 0, parent.under | parent.marks if parent is not None else 0
 
     def walk(self) -> Iterator[_Node]:
         todo = [self]
@@ -146,56 +151,72 @@ class _Node:
                 todo += reversed(node.children)
         return " ".join("".join(out).split())
 
-    def find(self, test) -> _Node | None:
-        return next((n for n in self.walk() if n is not self and test(n)), None)
-
     def has(self, name, *values) -> bool:
         return self.attrs.get(name) in values
 
-    def classed(self, *names) -> bool:
-        return bool(set(names) & set((self.attrs.get("class") or "").split()))
-
-    def inside(self, test) -> bool:
-        node = self.parent
-        while node is not None:
-            if test(node):
-                return True
-            node = node.parent
-        return False
-
 
 class _Tree(HTMLParser):
-    def __init__(self):
+    """The tree of a page.  Marks are decided once an element, when it opens, so no test climbs the tree."""
+
+    def __init__(self, marks):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("", {}, None)
+        self.open = Counter()
+        self.marks = marks
 
-    def handle_starttag(self, tag, attrs):
+    def _add(self, tag, attrs) -> _Node:
         node = _Node(tag, dict(attrs), self.at)
+        for mark, test in self.marks.items():
+            if test(node):
+                node.marks |= mark
         self.at.children.append(node)
+        return node
+
+    def handle_starttag(self, tag, attrs):
+        node = self._add(tag, attrs)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(_Node(tag, dict(attrs), self.at))
+        self._add(tag, attrs)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        if not self.open[tag]:
+            return
+        while True:
+            node, self.at = self.at, self.at.parent
+            self.open[node.tag] -= 1
+            if node.tag == tag:
+                return
 
     def handle_data(self, data):
         self.at.children.append(data)
 
 
-def _tree(html: str | None) -> _Node:
-    parser = _Tree()
+def _tree(html: str | None, marks: dict) -> _Node:
+    parser = _Tree(marks)
     parser.feed(html or "")
     parser.close()
     return parser.root
 
 
+def _fields(root: _Node, first: dict, every: dict) -> dict:
+    """One walk below ``root``: the first node of each test in ``first``, all nodes of those in ``every``."""
+    found, wanted = dict.fromkeys(first) | {k: [] for k in every}, list(first.items())
+    for node in root.walk():
+        if node is root:
+            continue
+        met = [name for name, test in wanted if test(node)]
+        if met:
+            found |= dict.fromkeys(met, node)
+            wanted = [w for w in wanted if w[0] not in met]
+        for name, test in every.items():
+            if test(node):
+                found[name].append(node)
+    return found
+
+
 def _text(node: _Node | None) -> str:
     return node.text() if node is not None else ""
 
@@ -212,77 +233,100 @@ def _is_review(n: _Node) -> bool:
     return n.has("data-hook", "mobley-review-content", "review")
 
 
+def _hook(*names):
+    return lambda n: n.attrs.get("data-hook") in names
+
+
+def _classed(name: str, under: int = 0):
+    """Test for a class, below an element with the mark ``under`` if one is given."""
+    return lambda n: name in n.classes and (not under or n.under & under)
+
+
+def _tagged(tag: str, under: int):
+    return lambda n: n.tag == tag and n.under & under
+
+
+# ---- reviews -------------------------------------------------------------------------------
+
+_IN_REVIEW, _IN_HOOK_STARS, _IN_STARS = 1, 2, 4
+_REVIEW_MARKS = {_IN_REVIEW: _is_review, _IN_HOOK_STARS: _hook("review-star-rating"), _IN_STARS: _classed("review-rating")}
+_REVIEW_FIRST = {
+    "hook_stars": _classed("a-icon-alt", _IN_HOOK_STARS), "stars": _classed("a-icon-alt", _IN_STARS),
+    "name": _classed("a-profile-name"), "widget": _hook("genome-widget"), "title": _hook("review-title"),
+    "body": _hook("review-body"), "content": _classed("cr-full-content"), "date": _hook("review-date"),
+    "badge": _hook("avp-badge", "msrp-avp-badge-linkless"),
+}
+_REVIEW_EVERY = {"thumbs": lambda n: n.tag == "button" and "review-image-thumbnail" in n.classes}
+
+
+def _image(button: _Node) -> dict:
+    thumb = re.search(r"url\((.+?)\)", button.attrs.get("style") or "")
+    index = re.match(r"\s*\d+", button.attrs.get("data-image-index") or "0")
+    return {
+        "imageIndex": min(int(index.group()), 2**31 - 1) if index else 0, "originalUrl": button.attrs.get("data-image-source") or "",
+        "thumbnailUrl": thumb.group(1) if thumb else "", "localPath": "",
+    }
+
+
 def _review(root: _Node) -> dict:
-    def hook(*names):
-        return root.find(lambda n: n.has("data-hook", *names))
-
-    def stars(place):
-        return _text(root.find(lambda n: n.classed("a-icon-alt") and n.inside(place)))
-
-    rating = stars(lambda p: p.has("data-hook", "review-star-rating")) or stars(lambda p: p.classed("review-rating"))
-    images = []
-    for b in root.walk():
-        if b.tag == "button" and b.classed("review-image-thumbnail"):
-            thumb = re.search(r"url\((.+?)\)", b.attrs.get("style") or "")
-            index = re.match(r"\s*\d+", b.attrs.get("data-image-index") or "0")
-            images.append({
-                "imageIndex": int(index.group()) if index else 0, "originalUrl": b.attrs.get("data-image-source") or "",
-                "thumbnailUrl": thumb.group(1) if thumb else "", "localPath": "",
-            })
+    f = _fields(root, _REVIEW_FIRST, _REVIEW_EVERY)
+    rating = _text(f["hook_stars"]) or _text(f["stars"])
     return {
-        "author": _text(root.find(lambda n: n.classed("a-profile-name"))) or _text(hook("genome-widget")),
-        "title": _text(hook("review-title")),
-        "body": _text(hook("review-body")) or _text(root.find(lambda n: n.classed("cr-full-content"))),
-        "ratingText": rating, "rating": _first_number(rating), "dateText": _text(hook("review-date")),
-        "verifiedPurchase": hook("avp-badge", "msrp-avp-badge-linkless") is not None, "images": images,
+        "author": _text(f["name"]) or _text(f["widget"]), "title": _text(f["title"]), "body": _text(f["body"]) or _text(f["content"]),
+        "ratingText": rating, "rating": _first_number(rating), "dateText": _text(f["date"]),
+        "verifiedPurchase": f["badge"] is not None, "images": [_image(b) for b in f["thumbs"]],
     }
 
 
 def _page_reviews(html: str) -> Iterator[dict]:
+    """Records of a page; a listed node inside a review stands for that review, which comes before it."""
     seen = set()
-    for node in _tree(html).walk():
-        node_id = node.attrs.get("id") or ""
-        listed = _is_review(node) or node_id.startswith("customer_review-") or (node_id.startswith("R") and "data-hook" in node.attrs)
-        if not listed:
-            continue
-        root = node
-        while root is not None and not _is_review(root):
-            root = root.parent
-        root = root or node
-        inner = root.find(lambda n: (n.attrs.get("id") or "").startswith("R"))
-        review_id = root.attrs.get("id") or (inner.attrs["id"] if inner is not None else None)
+    for node in _tree(html, _REVIEW_MARKS).walk():
+        if not node.marks & _IN_REVIEW:
+            node_id = node.attrs.get("id") or ""
+            if node.under & _IN_REVIEW or not (node_id.startswith("customer_review-") or (node_id.startswith("R") and "data-hook" in node.attrs)):
+                continue
+        review_id = node.attrs.get("id")
+        if not review_id:
+            review_id = next((n.attrs["id"] for n in node.walk() if n is not node and (n.attrs.get("id") or "").startswith("R")), None)
         if review_id and review_id not in seen:
             seen.add(review_id)
-            yield {"reviewId": review_id, **_review(root)}
+            yield {"reviewId": review_id, **_review(node)}
 
 
-def _page_cards(html: str) -> Iterator[dict]:
-    def within(card, test, outer):
-        return card.find(lambda n: test(n) and n.inside(outer))
+# ---- search cards --------------------------------------------------------------------------
+
+_IN_H2, _IN_H2_LINK, _IN_PLAIN, _IN_BRAND, _IN_LINE, _IN_PRICE = 1, 2, 4, 8, 16, 32
+
+
+def _plain(n: _Node) -> bool:
+    return n.tag == "a" and {"a-link-normal", "s-no-outline"} <= n.classes
+
 
-    span = lambda n: n.tag == "span"
-    for card in _tree(html).walk():
+_CARD_MARKS = {
+    _IN_H2: lambda n: n.tag == "h2", _IN_H2_LINK: _tagged("a", _IN_H2), _IN_PLAIN: _plain,
+    _IN_BRAND: lambda n: n.tag == "h5" and "s-line-clamp-1" in n.classes, _IN_LINE: _classed("s-line-clamp-1"), _IN_PRICE: _classed("a-price"),
+}
+_CARD_FIRST = {
+    "h2_link_span": _tagged("span", _IN_H2_LINK), "plain_span": _tagged("span", _IN_PLAIN), "h2_span": _tagged("span", _IN_H2),
+    "h2_link": _tagged("a", _IN_H2), "plain": _plain, "brand": _tagged("span", _IN_BRAND), "line": _classed("a-size-base-plus", _IN_LINE),
+    "image": lambda n: n.tag == "img" and "s-image" in n.classes, "rating": _classed("a-icon-alt"), "price": _classed("a-offscreen", _IN_PRICE),
+}
+_CARD_EVERY = {"counts": lambda n: n.tag == "a" and "customerReviews" in (n.attrs.get("href") or "")}
+
+
+def _page_cards(html: str) -> Iterator[dict]:
+    for card in _tree(html, _CARD_MARKS).walk():
         if not (card.has("data-component-type", "s-search-result") and "data-asin" in card.attrs):
             continue
-        h2 = lambda n: n.tag == "h2"
-        plain = lambda n: n.tag == "a" and n.classed("a-link-normal") and n.classed("s-no-outline")
-        title = (
-            card.find(lambda n: span(n) and n.inside(lambda a: a.tag == "a" and a.inside(h2)))
-            or within(card, span, plain) or within(card, span, h2)
-        )
-        link = within(card, lambda n: n.tag == "a", h2) or card.find(plain)
-        brand = (
-            card.find(lambda n: span(n) and n.inside(lambda a: a.tag == "h5" and a.classed("s-line-clamp-1")))
-            or within(card, lambda n: n.classed("a-size-base-plus"), lambda a: a.classed("s-line-clamp-1"))
-        )
-        image = card.find(lambda n: n.tag == "img" and n.classed("s-image"))
-        counts = [n.text() for n in card.walk() if n.tag == "a" and "customerReviews" in (n.attrs.get("href") or "")]
+        f = _fields(card, _CARD_FIRST, _CARD_EVERY)
+        link, image = f["h2_link"] or f["plain"], f["image"]
         yield {
-            "asin": card.attrs.get("data-asin") or "", "title": _text(title),
+            "asin": card.attrs.get("data-asin") or "", "title": _text(f["h2_link_span"] or f["plain_span"] or f["h2_span"]),
             "productUrl": (link.attrs.get("href") or "") if link is not None else "",
-            "ratingText": _text(card.find(lambda n: n.classed("a-icon-alt"))), "ratingCountText": " ".join(counts).strip(),
-            "priceText": _text(within(card, lambda n: n.classed("a-offscreen"), lambda a: a.classed("a-price"))),
-            "brand": _text(brand), "imageUrl": (image.attrs.get("src") or "") if image is not None else "",
+            "ratingText": _text(f["rating"]), "ratingCountText": " ".join(n.text() for n in f["counts"]).strip(),
+            "priceText": _text(f["price"]), "brand": _text(f["brand"] or f["line"]),
+            "imageUrl": (image.attrs.get("src") or "") if image is not None else "",
         }
 
 
@@ -295,27 +339,41 @@ CARD_SCHEMA = (
     "page_id bigint, url string, asin string, title string, productUrl string, ratingText string, "
     "ratingCountText string, priceText string, brand string, imageUrl string"
 )
-
-
-def _per_page(read, columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                rows = [{"page_id": page_id, "url": url, **r} for r in read(html)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
-    return run
+_IMAGE = pa.struct([("imageIndex", pa.int32()), *[(c, pa.string()) for c in ("originalUrl", "thumbnailUrl", "localPath")]])
+_ARROW = {"rating": pa.float64(), "verifiedPurchase": pa.bool_(), "images": pa.list_(_IMAGE)}
 
 
 def _names(schema: str) -> list[str]:
     return [p.strip().split(" ")[0] for p in re.sub(r"<.*>", "", schema).split(",")]
 
 
+def _records(pages: DataFrame, marker: str, read, schema: str) -> DataFrame:
+    """Records that ``read`` finds in each page; pages without ``marker``, a pattern, never reach Python.
+
+    Page numbers and links are taken over as they are, large and null ones too.
+    """
+    names = _names(schema)[2:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at = [], []
+            for i, html in enumerate(batch.column("html")):
+                found = list(read(html.as_py()))
+                rows += found
+                at += [i] * len(found)
+            head = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("page_id", "url")]
+            cells = [pa.array([r[c] for r in rows], _ARROW.get(c, pa.string())) for c in names]
+            yield pa.RecordBatch.from_arrays(head + cells, names=["page_id", "url", *names])
+
+    kept = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").filter(F.col("html").rlike(marker))
+    return kept.mapInArrow(run, schema)
+
+
 def reviews_of_pages(pages: DataFrame) -> DataFrame:
-    """Review records of saved review pages."""
-    return pages.select("page_id", "url", "html").mapInPandas(_per_page(_page_reviews, _names(REVIEW_SCHEMA)), REVIEW_SCHEMA)
+    """Review records of saved review pages: pages with a hook, a review's id, or an id written with references."""
+    return _records(pages, r"(?i)data-hook|customer_review-|\bid\s*=\s*[\"']?[^\s\"'>]*&", _page_reviews, REVIEW_SCHEMA)
 
 
 def cards_of_pages(pages: DataFrame) -> DataFrame:
     """Raw search cards of saved result pages; see ``listings.parse_hits``."""
-    return pages.select("page_id", "url", "html").mapInPandas(_per_page(_page_cards, _names(CARD_SCHEMA)), CARD_SCHEMA)
+    return _records(pages, "(?i)data-component-type", _page_cards, CARD_SCHEMA)
