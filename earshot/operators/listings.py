@@ -8,6 +8,8 @@ from earshot.functions import text as T
 from earshot.operators.skew import label_join, number_read, settle, spread_join
 from earshot.packs import listings as LP
 
+LOCALE = "UNICODE"
+
 # ---- reviews seen in several views ---------------------------------------------
 
 def merge_reviews(views: DataFrame) -> DataFrame:
@@ -107,8 +109,9 @@ def passes(min_rating: float | None = None, price_min: float | None = None, pric
     return out
 
 
-def candidate_order() -> list[Column]:
-    return [F.desc(F.coalesce("ratingCount", F.lit(0))), F.desc(F.coalesce("ratingAverage", F.lit(0.0))), F.collate(T.text_of("title"), "UNICODE"), F.col("ord")]
+def candidate_order(collation: str = LOCALE) -> list[Column]:
+    """Most reviews, best rating, then title by ``collation``: locale order, or ``UTF8_BINARY`` for code points."""
+    return [F.desc(F.coalesce("ratingCount", F.lit(0))), F.desc(F.coalesce("ratingAverage", F.lit(0.0))), F.collate(T.text_of("title"), collation), F.col("ord")]
 
 
 # ---- scenarios ------------------------------------------------------------------------
@@ -140,15 +143,15 @@ def with_scenario(candidates: DataFrame, pack=LP) -> DataFrame:
     return candidates.withColumn("scenarioLabel", scenario_label("title", F.col("matchedKeywords"), pack))
 
 
-def scenarios(candidates: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """Numbered scenarios: most products first, then label in locale order, then by its characters.
+def scenarios(candidates: DataFrame, excluded: DataFrame | None = None, collation: str = LOCALE) -> DataFrame:
+    """Numbered scenarios: most products first, then label by ``collation``, then by its characters.
 
     Search keywords become labels, so their number is open: the counts are sorted over
     ranges, and a range is numbered from the sizes of those before it.  The members of
     a scenario are ``scenario_members``.
     """
     counted = settle(candidates.groupBy("scenarioLabel").agg(F.count_distinct("asin").alias("candidateCount")))
-    ranked = counted.orderBy(F.desc("candidateCount"), F.collate("scenarioLabel", "UNICODE"), "scenarioLabel")
+    ranked = counted.orderBy(F.desc("candidateCount"), F.collate("scenarioLabel", collation), "scenarioLabel")
     d = number_read(ranked.withColumn("_all", F.lit(0)), "_all", "scenarioId")
     d = d.select(F.col("scenarioId").cast("int"), "scenarioLabel", "candidateCount")
     if excluded is None:
@@ -168,10 +171,10 @@ def add_exclusions(numbered: DataFrame, earlier: DataFrame, wanted: DataFrame) -
     return earlier.select("scenario_id").union(wanted.select("scenario_id").intersect(known)).distinct().orderBy("scenario_id")
 
 
-def select_products(candidates: DataFrame, numbered: DataFrame, top_n: int = 5) -> DataFrame:
+def select_products(candidates: DataFrame, numbered: DataFrame, top_n: int = 5, collation: str = LOCALE) -> DataFrame:
     """All candidates with scenario, ``kept``, ``selectedForExecution`` and rank."""
     d = label_join(candidates, numbered.select("scenarioLabel", "scenarioId", "kept"), "scenarioLabel", "asin")
-    order = candidate_order()
+    order = candidate_order(collation)
     best = d.filter("kept").orderBy(*order).limit(top_n)
     ranks = best.select("asin", F.row_number().over(Window.orderBy(*order)).alias("executionRank"))  # top_n rows
     return (
@@ -180,8 +183,8 @@ def select_products(candidates: DataFrame, numbered: DataFrame, top_n: int = 5)
     )
 
 
-def kept_candidates(selected: DataFrame) -> DataFrame:
-    return selected.filter("kept").orderBy(*candidate_order())
+def kept_candidates(selected: DataFrame, collation: str = LOCALE) -> DataFrame:
+    return selected.filter("kept").orderBy(*candidate_order(collation))
 
 
 def estimate(selected: DataFrame, numbered: DataFrame) -> DataFrame:

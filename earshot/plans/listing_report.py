@@ -72,21 +72,21 @@ def run_table(status: DataFrame) -> DataFrame:
     )
 
 
-def preview(selected: DataFrame, top_n: int = 5) -> DataFrame:
+def preview(selected: DataFrame, top_n: int = 5, collation: str = L.LOCALE) -> DataFrame:
     """Kept products with most reviews, at most ten."""
-    order = [F.desc(F.coalesce("ratingCount", F.lit(0))), *L.candidate_order()]
+    order = [F.desc(F.coalesce("ratingCount", F.lit(0))), *L.candidate_order(collation)]
     best = selected.filter("kept").orderBy(*order).limit(min(top_n, 10))
     return best.select(F.row_number().over(Window.orderBy(*order)).alias("pos"), "title", "asin", "ratingCount", "scenarioLabel")
 
 
-def preflight(selected: DataFrame, numbered: DataFrame, top_n: int = 5) -> DataFrame:
+def preflight(selected: DataFrame, numbered: DataFrame, top_n: int = 5, collation: str = L.LOCALE) -> DataFrame:
     """One row: the text in which a run is confirmed.
 
     Scenarios are few (fixed patterns and the keywords of the run); the preview has
     at most ten products.
     """
     lines = numbered.agg(F.array_sort(F.collect_list(F.struct("scenarioId", "scenarioLabel", "candidateCount", "kept"))).alias("s"))
-    prev = preview(selected, top_n).agg(F.array_sort(F.collect_list(F.struct("pos", "title", "asin", "ratingCount", "scenarioLabel"))).alias("p"))
+    prev = preview(selected, top_n, collation).agg(F.array_sort(F.collect_list(F.struct("pos", "title", "asin", "ratingCount", "scenarioLabel"))).alias("p"))
     d = L.estimate(selected, numbered).withColumn("s", lines.scalar()).withColumn("p", prev.scalar())
     text = lambda c: c.cast("string")
     scenario_lines = F.array_join(F.transform("s", lambda x: F.concat(

@@ -53,3 +53,18 @@ def test_a_profile_stays_one_row_beside_several_cached_layers(spark):
     cache = spark.createDataFrame(rows, "signature string, layer string, reason string, source string")
     got = enrich.resolve_layers(profiles, cache).collect()
     assert [(r.layer, r.reason, r.source) for r in got] == [(second, "q", "model")]
+
+
+def test_tied_products_are_in_code_point_order_in_the_queries_and_in_locale_order_by_default(spark, tmp_path):
+    from earshot.showcase import listings as showcase
+
+    # all ratings and counts are alike: only titles, RCA, speaker, line and mixer among them, and the order of reading decide
+    keys = [k for i in range(1, 60) if 100 <= (k := 38102 + 58620 * i) % 1000 <= 899]
+    spark.createDataFrame([(k, i, "O", "5-LOW") for i, k in enumerate(keys)], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, "old rod", "b") for i in range(60)], "p_partkey bigint, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    passing = showcase.passing(spark, str(tmp_path)).collect()
+    assert len({(r.ratingCount, r.ratingAverage) for r in passing}) == 1 and len({r.title for r in passing}) > 5
+    got = showcase.QUERIES["selected_without_exclusions"](spark, str(tmp_path)).orderBy("executionRank").collect()
+    assert [r.asin for r in got] == [r.asin for r in sorted(passing, key=lambda r: (r.title, r.ord))[:20]]
+    chosen = showcase.passing(spark, str(tmp_path)).orderBy(*listings.candidate_order()).collect()
+    assert [r.ord for r in chosen] == [r.ord for r in sorted(passing, key=lambda r: (r.title.lower(), r.ord))]
