@@ -61,13 +61,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_sample(df: DataFrame, keys: Sequence[str], most: int, seed: int = 7) -> DataFrame:
+def bounded_sample(df: DataFrame, keys: Sequence[str], most: int, seed: int = 7, value: Column | None = None) -> DataFrame:
     """`most` rows, those with the smallest hashes of `keys`; all rows when there are no more than `most`.
 
+    `value` may give a hash that was computed before.
+
     `keys` should tell rows apart (an id and a text), so that copies of a text are drawn one by one.  Hashes
     are counted by their first 16 bits; only rows up to the range that fills the sample are sorted.
     """
-    value = F.xxhash64(F.lit(seed), *keys)
+    value = F.xxhash64(F.lit(seed), *keys) if value is None else value
     part = F.shiftrightunsigned(value, 48)
     upto, edge = 0, -1
     for row in df.groupBy(part.alias("part")).count().orderBy("part").collect():  # 65,536 rows at most

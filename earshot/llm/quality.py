@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import annotated, bounded_sample, free_name, ship
+from earshot.llm.common import annotated, bounded_sample, free_name, ship, staged
 
 BUCKETS = 1 << 17
 FEATURES = 2 * BUCKETS
@@ -97,6 +97,26 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> np.ndarra
     return np.append(vectors @ toward, bias[1] - bias[0]).astype(np.float32)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = 4000, key: str = "doc_id", seed: int = 7) -> DataFrame:
+    """The rows (key, text, quality) that `train` draws from `docs` joined with `labels` on `key`.
+
+    Texts are not shuffled: ids meet labels with the hashes their rows would have, the sample is drawn from
+    these numbers, and only its rows are fetched from `docs`.
+    """
+    labels = labels.filter("quality in (0, 1)").select(key, "quality")
+    kind = labels.schema["quality"].dataType
+    if_0, if_1 = (F.xxhash64(F.lit(seed), key, "text", F.lit(q).cast(kind)) for q in (0, 1))
+    draw = F.when(F.col("quality") == 0, F.col("_if_0")).otherwise(F.col("_if_1"))
+    narrow = staged(docs.select(key, if_0.alias("_if_0"), if_1.alias("_if_1")).join(labels, key).select(key, "quality", draw.alias("_draw")), "draws")
+    drawn = bounded_sample(narrow, [key, "quality"], most, value=F.col("_draw"))
+    # rows alike in all columns are fetched once and repeated
+    drawn = drawn.groupBy(key, "quality", "_draw").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    fetched = docs.select(key, "text", if_0.alias("_if_0"), if_1.alias("_if_1")).join(F.broadcast(drawn), key).filter(draw == F.col("_draw"))
+    once = fetched.dropDuplicates([key, "quality", "_draw"])
+    again = once.select(key, "text", "quality", F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_again")).drop("_again")
+    return staged(again, "labelled_sample")  # bounded by `most`, and read several times
+
+
 def train(labelled: DataFrame, most: int = 4000, key: str = "doc_id") -> DataFrame:
     """One row `weights` (binary) fitted to (text, quality).
 

@@ -169,3 +169,13 @@ def test_the_stage_drops_near_copies_of_five_words(spark, documents):  # noqa: F
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, documents, DATA).collect()}
     assert got == set(groups([(r.doc_id, r.text) for r in documents.collect()], 5).values())
 
+
+
+def test_the_labelled_sample_is_that_of_the_join(spark):
+    docs = spark.createDataFrame([(i % 90 if i else None, f"text {i % 100}") for i in range(300)] + [(5, None), (5, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i % 70, i % 2) for i in range(100)] + [(5, None), (6, 2), (None, 1)], "doc_id bigint, quality int")
+    keys = ["doc_id", "text", "quality"]
+    for most in (40, 10_000):
+        want = common.bounded_sample(docs.join(labels, "doc_id").filter("quality in (0, 1)").select(*keys), keys, most)
+        got = quality.labelled_sample(docs, labels, most)
+        assert sorted(map(repr, map(tuple, got.select(*keys).collect()))) == sorted(map(repr, map(tuple, want.collect())))
