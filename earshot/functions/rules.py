@@ -12,7 +12,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from earshot.functions.text import col, let, quoted, words
+from earshot.functions.text import col, let, mapped, quoted, words
 
 # Above this many keywords one pass with a prefix-tree pattern is faster than a
 # substring search per keyword (see bench notes in the README).
@@ -105,9 +105,20 @@ def hit_count(hits: Column, keywords: Iterable[str]) -> Column:
 
 
 def first_label(hits: Column, rules, default=None) -> Column:
-    """Label of the first rule with a keyword among the hits."""
+    """Label of the first rule with a keyword among the hits.
+
+    Each keyword has the number of the first rule that names it and the smallest number
+    decides, so the hits are read once whatever the number of rules.
+    """
     fallback = default if isinstance(default, Column) else F.lit(default)
-    return F.coalesce(*[F.when(hit(hits, keywords), label) for label, keywords in rules], fallback)
+    number: dict[str, int] = {}
+    for i, (_, keywords) in enumerate(rules):
+        for k in keywords:
+            number.setdefault(k, i)
+    if not number:
+        return fallback
+    labels = F.expr("array(" + ", ".join(quoted(label) for label, _ in rules) + ")")
+    return F.coalesce(F.get(labels, F.array_min(F.transform(hits, lambda k: mapped(k, number)))), fallback)
 
 
 def keywords_of(*rule_lists) -> set[str]:

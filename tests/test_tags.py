@@ -80,3 +80,19 @@ def test_shares_sum_to_one(spark):
     counts = C.label_counts(TG.tag(CL.clean_reviews(records(spark, CASES))))
     shares = C.with_share(C.fold(counts, "feature"), counts).agg(F.sum("share")).first()[0]
     assert abs(shares - 1) < 1e-9
+
+
+def test_reasons_are_decided_once_and_labels_by_the_number_of_their_first_rule(spark):
+    from pyspark.sql import functions as F
+
+    from earshot.functions import rules
+    from earshot.operators import clean
+
+    rows = spark.createDataFrame([(1, "", "p", "", "great sound"), (2, "", "p", "", "great  sound"), (3, "", "p", "", "ok")], "ord bigint, focus_name string, product_name string, scene_name string, cleaned_comment string")
+    valid = clean.kept(clean.clean_reviews(rows))
+    assert [r.ord for r in valid.collect()] == [1]
+    assert valid._jdf.queryExecution().optimizedPlan().toString().count("logistics_or_seller_only") == 1
+    order = [("x", ("a", "b")), ("y", ("b", "c")), ("z", ())]
+    hits = spark.createDataFrame([(["c"],), (["c", "b"],), (["d"],), ([],)], "h array<string>")
+    assert [r[0] for r in hits.select(rules.first_label(F.col("h"), order, "none")).collect()] == ["y", "x", "none", "none"]
+    assert str(rules.first_label(F.col("h"), order)).count("arrays_overlap") == 0
