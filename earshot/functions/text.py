@@ -18,6 +18,9 @@ SPACE = (
 # the same characters for trimming, which only looks at the ends of a text
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NON_KEY = r"[^0-9a-z\x{4e00}-\x{9fff}]+"
+# The same characters listed as ranges, for expressions (the pattern above stands in SQL too):
+# Java reads such a class several times faster than a negated one.
+NON_KEY_CHAR = r"[\x{0}-/:-`\x{7b}-\x{4dff}\x{a000}-\x{10ffff}]"
 NUMBER = r"(\d+(?:\.\d+)?)"
 
 
@@ -74,7 +77,7 @@ def normalize(c) -> Column:
 
 def key(c) -> Column:
     """Comparison key: only ``0-9a-z`` and CJK characters are kept."""
-    return F.regexp_replace(F.lower(text_of(c)), NON_KEY, "")
+    return F.regexp_replace(F.lower(text_of(c)), f"{NON_KEY_CHAR}++", "")
 
 
 def normalize_header(c) -> Column:

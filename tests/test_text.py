@@ -109,3 +109,11 @@ def test_chunks_of_random_texts(spark):
 def test_written_day_and_large_counts(spark):
     assert [str(x) for x in values(spark, ["2024-01-05T23:30:00-08:00", "2024-01-05 10:00:00Z"], T.timestamp)] == ["2024-01-05 23:30:00", "2024-01-05 10:00:00"]
     assert values(spark, ["3,000,000,000 ratings"], T.rating_count) == [3000000000]
+
+
+def test_keys_are_cut_by_a_plain_class_that_holds_the_characters_of_the_negated_one(spark):
+    points = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("u"))
+    d = points.select(F.concat(F.lit("x "), "u", F.lit("Y"), "u", "u", F.lit("z")).alias("v"))
+    assert d.filter(T.key("v") != F.regexp_replace(F.lower("v"), T.NON_KEY, "")).count() == 0
+    plan = d.select(T.key("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^" not in plan
