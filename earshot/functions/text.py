@@ -21,6 +21,12 @@ NON_KEY = r"[^0-9a-z\x{4e00}-\x{9fff}]+"
 # The same characters listed as ranges, for expressions (the pattern above stands in SQL too):
 # Java reads such a class several times faster than a negated one.
 NON_KEY_CHAR = r"[\x{0}-/:-`\x{7b}-\x{4dff}\x{a000}-\x{10ffff}]"
+# The characters of SPACE for expressions: Java looks characters below 256 that are listed one by one
+# up in a table, and the others only where one comparison does not rule them out.
+SPACE_CHAR = (
+    r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x{85}\x{a0}"
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
+)
 NUMBER = r"(\d+(?:\.\d+)?)"
 
 
@@ -67,7 +73,7 @@ def strip(c) -> Column:
 
 def collapse(c) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text_of(c), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(text_of(c), f"{SPACE_CHAR}++", " "))
 
 
 def normalize(c) -> Column:
@@ -80,6 +86,19 @@ def key(c) -> Column:
     return F.regexp_replace(F.lower(text_of(c)), f"{NON_KEY_CHAR}++", "")
 
 
+def key_length(c, enough: int) -> Column:
+    """Number of key characters of a lower-case text; exact below ``enough``, else at least ``enough``.
+
+    The beginning of a long text mostly has ``enough`` of them, and the rest is not read then.
+    """
+    c, head = col(c), 4 * enough
+    return (
+        F.when(F.length(c) <= head, F.length(key(c)))
+        .when(F.length(key(F.substring(c, 1, head))) >= enough, enough)
+        .otherwise(F.length(key(c)))
+    )
+
+
 def normalize_header(c) -> Column:
     return F.regexp_replace(F.lower(text_of(c)), f"{SPACE}+", "")
 

@@ -86,9 +86,9 @@ def polarity(positive: Column, negative: Column) -> Column:
 
 
 def intensity(hits: Column, comment: Column, rating: Column, positive: Column, negative: Column, pack=VP) -> Column:
-    marks = F.length(comment) - F.length(F.translate(comment, "!！", ""))
+    marks = comment.rlike("[!！][^!！]*+[!！]")  # at least two
     return (
-        F.when(rating.isin(1.0, 5.0) | (marks >= 2) | hit(hits, pack.STRONG_POSITIVE, pack.STRONG_NEGATIVE), "强烈")
+        F.when(rating.isin(1.0, 5.0) | marks | hit(hits, pack.STRONG_POSITIVE, pack.STRONG_NEGATIVE), "强烈")
         .when(rating.isin(2.0, 4.0) | (positive > 0) | (negative > 0), "中等")
         .otherwise("轻微")
     )
@@ -212,7 +212,7 @@ def with_hits(df: DataFrame, pack=VP) -> DataFrame:
     seam = T.joined_text(" ", F.col("_lead"), F.substring(F.col("_text"), 1, index.longest - 1))
     d = d.select(
         "*",
-        F.length(T.key(F.col("_text"))).alias("_key_length"),
+        T.key_length("_text", 80).alias("_key_length"),  # no layer asks for more
         index.hits(F.col("_text")).alias("_hits"),
         F.when(F.col("_lead") == "", F.array().cast("array<string>")).otherwise(index.hits(seam)).alias("_lead_hits"),
         F.when(F.col("_theme") == "", F.array().cast("array<string>")).otherwise(sources.hits(F.col("_theme"))).alias("_source_hits"),

@@ -77,13 +77,16 @@ HEAVY = ("documents", "events", "pages", "conversations")  # tables with texts t
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one that lies in fewer pieces than there are cores is spread.
+    """A given table; one that lies in fewer files than there are cores is spread.
 
-    A table of many files is read as it is, without a shuffle.
+    Splits of a file say nothing: a file of one row group has its rows in one of them,
+    whatever its size.  A table of many files is read as it is, without a shuffle.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < cores else df
+    if name not in HEAVY or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(max(cores, df.rdd.getNumPartitions()))
 
 
 def pick(words, index: Column) -> Column:

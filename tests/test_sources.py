@@ -79,3 +79,20 @@ def test_older_headings_become_todays(spark):
     got = CE.current_headings(old)
     assert (got.columns, tuple(got.first())) == (["一级功能", "x"], ("b", 1))
     assert CE.current_headings(got).columns == got.columns
+
+
+def test_a_table_of_one_row_group_is_spread(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from earshot.showcase import base as B
+
+    rows = 40_000
+    pq.write_table(pa.table({"doc_id": list(range(rows)), "text": [f"{i * 2654435761:x}" * 60 for i in range(rows)]}), tmp_path / "documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # splits, of which one holds all rows
+    try:
+        plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        assert plain.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [r["count"] for r in B.read(spark, str(tmp_path), "documents").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(sizes) == rows and len(sizes) >= 4 and max(sizes) < rows / 2

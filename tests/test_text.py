@@ -117,3 +117,16 @@ def test_keys_are_cut_by_a_plain_class_that_holds_the_characters_of_the_negated_
     assert d.filter(T.key("v") != F.regexp_replace(F.lower("v"), T.NON_KEY, "")).count() == 0
     plan = d.select(T.key("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert "[^" not in plan
+
+
+def test_white_space_class_lists_the_same_characters(spark):
+    points = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    differ = points.filter(F.regexp_replace("c", T.SPACE, "") != F.regexp_replace("c", T.SPACE_CHAR, ""))
+    assert T.SPACE_CHAR != T.SPACE and differ.count() == 0
+    assert "&&" in str(T.normalize("c"))
+
+
+def test_key_length_reads_the_beginning_of_a_long_text(spark):
+    texts = ["", "a b", "ab " * 30, "." * 500 + "x" * 79, "." * 500 + "x" * 90, "x" * 79 + "." * 900, "音" * 81]
+    assert [min(n, 80) for n in values(spark, texts, lambda c: T.key_length(c, 80))] == [0, 2, 60, 79, 80, 79, 80]
+    assert values(spark, ["ab " * 5000], lambda c: T.key_length(c, 80)) == [80]
