@@ -195,9 +195,17 @@ def representatives(tagged: DataFrame, by: str = "scene") -> DataFrame:
     return tagged.join(small_side(winners), "ord", "left_semi")
 
 
-def evidence(tagged: DataFrame, k: int = 3, limit: int = 100, shortest: int = 18) -> DataFrame:
-    """Up to ``k`` different comments per need, best ranked first."""
+def quotable(tagged: DataFrame, limit: int = 100) -> DataFrame:
+    """What need profiles read of a tagged table, the comments already cut to quotes: narrow enough to be stored."""
     text = T.shorten(T.collapse(T.first_filled("translated_comment", "cleaned_comment", "raw_comment")), limit)
+    return tagged.select("ord", *DIMS, "rank_score", "aha_score", text.alias("quote"))
+
+
+def evidence(tagged: DataFrame, k: int = 3, limit: int = 100, shortest: int = 18) -> DataFrame:
+    """Up to ``k`` different comments per need, best ranked first; takes a ``quotable`` table too, cut as it is."""
+    if "quote" not in tagged.columns:
+        tagged = quotable(tagged, limit)
+    text = F.col("quote")
     worth = F.col("rank_score") * AHA_SCORES + F.col("aha_score")
     d = tagged.select("need", "ord", text.alias("text"), packed(worth, F.col("ord")).alias("_p")).filter(F.length("text") >= shortest)
     distinct = d.groupBy("need", F.sha2(F.lower("text"), 256).alias("_k")).agg(F.max("_p").alias("_p"))

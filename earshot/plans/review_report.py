@@ -178,10 +178,17 @@ def _top_pairs(counts: DataFrame) -> DataFrame:
     return listed.withColumn("kept", sums.select("kept").scalar()).withColumn("aha", sums.select("aha").scalar())
 
 
-def narrative(counts: DataFrame, focus: str, dropped: DataFrame | None = None) -> DataFrame:
-    """One row: the summary text and the terms to be emphasised in it."""
+def narrative(counts: DataFrame, focus: str, dropped: DataFrame | None = None, reviews: DataFrame | None = None) -> DataFrame:
+    """One row: the summary text and the terms to be emphasised in it.
+
+    The rows lost by cleaning are the ``dropped`` ones, or what the ``reviews`` before
+    cleaning have more than ``counts``; these are only counted, so no text is read.
+    """
     d = _top_pairs(counts)
-    lost = F.lit(0) if dropped is None else dropped.agg(F.count(F.lit(1))).scalar()
+    if reviews is not None:
+        lost = reviews.agg(F.count(F.lit(1))).scalar() - F.col("kept")
+    else:
+        lost = F.lit(0) if dropped is None else dropped.agg(F.count(F.lit(1))).scalar()
     whole = F.greatest(F.col("kept"), F.lit(1))
     values = {b: T.pairs_text(F.col(b), whole) for b in _NARRATED}
     values |= {"focus": F.lit(focus), "raw": F.col("kept") + lost, "kept": F.col("kept"), "aha": F.col("aha")}

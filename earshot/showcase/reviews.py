@@ -38,9 +38,13 @@ def tagged(spark, d):
     return TG.tag(cleaned(spark, d))
 
 
-def stored(spark, d):
-    """The tagged table written once, as reports with several parts want it."""
-    return settle(tagged(spark, d))
+def stored(spark, d, *columns):
+    """The tagged table, or the ``columns`` a report reads, written once, as reports with several parts want it."""
+    return settle(tagged(spark, d).select(*columns or "*"))
+
+
+def quotable(spark, d):
+    return settle(C.quotable(tagged(spark, d)))
 
 
 def counts(spark, d):
@@ -385,24 +389,24 @@ NEEDS = TAGGED + _need_sql()
 
 @query("need_evidence", NEEDS + " SELECT need, CAST(pos AS INTEGER) AS pos, text FROM quote WHERE pos <= 3")
 def _(spark, d):
-    return C.evidence(stored(spark, d))
+    return C.evidence(quotable(spark, d))
 
 
 @query("need_profiles", NEEDS + " SELECT need, n, feature, secondary_need, scene, array_to_string(evidence, ' / ') AS evidence FROM needs")
 def _(spark, d):
-    return C.need_profiles(stored(spark, d)).withColumn("evidence", F.array_join("evidence", " / "))
+    return C.need_profiles(quotable(spark, d)).withColumn("evidence", F.array_join("evidence", " / "))
 
 
 @query("need_layers", NEEDS + " SELECT need, layer, '回退分层：需求语义更接近' || layer || '。' AS reason, 'fallback' AS source FROM layered")
 def _(spark, d):
-    return R.need_layers(stored(spark, d)).select("need", "layer", "reason", "source")
+    return R.need_layers(quotable(spark, d)).select("need", "layer", "reason", "source")
 
 
 @query("need_layers_cached", NEEDS + """ SELECT need, CASE WHEN n >= 100 THEN '自我实现层' ELSE layer END AS layer, CASE WHEN n >= 100 THEN 'seen' ELSE '回退分层：需求语义更接近' || layer || '。' END AS reason,
   CASE WHEN n >= 100 THEN 'cache' ELSE 'fallback' END AS source FROM layered""")
 def _(spark, d):
     """The answers for frequent needs come from the cache of an earlier run."""
-    profiles = settle(C.need_profiles(stored(spark, d)))
+    profiles = settle(C.need_profiles(quotable(spark, d)))
     cache = profiles.filter("n >= 100").select(E.profile_signature().alias("signature"), F.lit("自我实现层").alias("layer"), F.lit("seen").alias("reason"), F.lit("cache").alias("source"))
     return E.resolve_layers(profiles, cache).select("need", "layer", "reason", "source")
 
@@ -413,13 +417,13 @@ _LAYERS = B.values([(i, x, P.LAYER_DESCRIPTIONS[x]) for i, x in enumerate(P.LAYE
 @query("need_layer_totals", NEEDS + f""" SELECT l.pos, l.layer, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, coalesce(sum(n), 0) / {TOTAL} AS share, l.description
   FROM {_LAYERS} l(pos, layer, description) LEFT JOIN layered USING (layer) GROUP BY l.pos, l.layer, l.description""")
 def _(spark, d):
-    return R.layer_totals(settle(R.need_layers(stored(spark, d))))
+    return R.layer_totals(settle(R.need_layers(quotable(spark, d))))
 
 
 @query("need_clusters", NEEDS + f""" SELECT layer, need, feature, secondary_need, scene, n, n / {TOTAL} AS share,
   '产品定义可优先强化 ' || feature || '，先把 ' || secondary_need || ' 做成对 ' || scene || ' 用户更明确的能力承诺。' AS hint FROM layered""")
 def _(spark, d):
-    return R.need_clusters(settle(R.need_layers(stored(spark, d))))
+    return R.need_clusters(settle(R.need_layers(quotable(spark, d))))
 
 
 # ---- aha moments and scenes ---------------------------------------------------------------------------
@@ -437,7 +441,8 @@ _AHA = TAGGED + """, aha AS (SELECT *, row_number() OVER (ORDER BY aha_score DES
 
 @query("aha_ranking", _AHA + " SELECT rank, record_id, aha_score, relation, originality, rank_score FROM aha")
 def _(spark, d):
-    return R.aha_ranking(stored(spark, d)).select("rank", "record_id", "aha_score", "relation", "originality", "rank_score")
+    narrow = stored(spark, d, "ord", "record_id", "aha", "aha_score", "relation", "originality", "rank_score")
+    return R.aha_ranking(narrow).select("rank", "record_id", "aha_score", "relation", "originality", "rank_score")
 
 
 @query("aha_moments", _AHA + f""" SELECT rank, aha_score, relation, originality, product_name, product_link, scene, feature, secondary_need, {_TAKEAWAY} AS takeaway,
@@ -460,7 +465,8 @@ _SCENE = TAGGED + """, scored AS (SELECT *, CASE WHEN image_refs <> '' THEN 2 WH
 
 @query("scene_representatives", _SCENE + " SELECT scene, record_id, img AS image_score FROM chosen WHERE rk = 1")
 def _(spark, d):
-    return C.representatives(stored(spark, d)).select("scene", "record_id", C.image_score().alias("image_score"))
+    narrow = stored(spark, d, "ord", "record_id", "scene", "aha_score", "rank_score", "image_refs", "product_image", "product_link")
+    return C.representatives(narrow).select("scene", "record_id", C.image_score().alias("image_score"))
 
 
 @query("scene_cards", _SCENE + f""" SELECT c.scene, product_name, s.n, s.n / {TOTAL} AS share, persona, place, motivation, chain, {_PHRASE} AS phrase, {_IMAGE} AS image_evidence
@@ -487,8 +493,7 @@ def _narrative_sql() -> str:
 
 @query("review_narrative", _narrative_sql())
 def _(spark, d):
-    rows = cleaned(spark, d)
-    return R.narrative(settle(C.label_counts(TG.tag(rows))), "TestFocus", CL.dropped(rows)).drop("emphasis")
+    return R.narrative(counts(spark, d), "TestFocus", reviews=B.reviews(spark, d)).drop("emphasis")
 
 
 @query("review_emphasis", _BLOCK_SQL + f""", best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n DESC, first_ord) AS rank FROM blocks) WHERE rank <= 3

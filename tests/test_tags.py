@@ -96,3 +96,36 @@ def test_reasons_are_decided_once_and_labels_by_the_number_of_their_first_rule(s
     hits = spark.createDataFrame([(["c"],), (["c", "b"],), (["d"],), ([],)], "h array<string>")
     assert [r[0] for r in hits.select(rules.first_label(F.col("h"), order, "none")).collect()] == ["y", "x", "none", "none"]
     assert str(rules.first_label(F.col("h"), order)).count("arrays_overlap") == 0
+
+
+def test_copies_are_marked_without_moving_rows_or_by_number(spark):
+    rnd = random.Random(3)
+    rows = [(o, rnd.choice("abcdefgh"), rnd.random() < 0.7) for o in [*range(300), 1 << 40, (1 << 53) + 63, (1 << 53) + 64]]
+    df = spark.createDataFrame(rows, "ord bigint, k string, c boolean").repartition(3)
+    first = {}
+    for o, k, c in rows:
+        if c:
+            first.setdefault(k, o)
+    want = {o: c and first[k] != o for o, k, c in rows}
+    for most in (CL.MOST_WORDS, 0):
+        marked = CL._marked(df, F.col("c"), F.col("k"), most)
+        assert {r.ord: r._copy for r in marked.collect()} == want
+        plan = marked._jdf.queryExecution().optimizedPlan().toString()
+        assert ("_word" in plan) == (most > 0)
+
+
+def test_profiles_from_stored_quotes(spark):
+    tagged = TG.tag(CL.clean_reviews(records(spark, CASES)))
+    narrow = C.quotable(tagged)
+    assert "cleaned_comment" not in narrow.columns and "raw_comment" not in narrow.columns
+    profiles = [sorted(map(tuple, C.need_profiles(t).withColumn("evidence", F.to_json("evidence")).collect())) for t in (tagged, narrow)]
+    assert profiles[0] == profiles[1] and len(profiles[0]) == 2
+
+
+def test_narrative_counts_lost_rows_without_cleaning_again(spark):
+    from earshot.plans import review_report as R
+    rows = records(spark, [*CASES, (4, "", "", "ok", None, 0)])
+    cleaned = CL.clean_reviews(rows)
+    counts = C.label_counts(TG.tag(cleaned))
+    old, new = R.narrative(counts, "f", CL.dropped(cleaned)), R.narrative(counts, "f", reviews=rows)
+    assert old.collect() == new.collect() and new.first().raw_rows == 4
