@@ -16,8 +16,10 @@ from earshot.functions.text import col, let, mapped, quoted, words
 
 # Above this many keywords one pass with a prefix-tree pattern is faster than a
 # substring search per keyword (see bench notes in the README).
-SCAN_FROM = 120
+SCAN_FROM = 60
 FAN_OUT = 5
+# Letters are told apart by these groups and the rest before a position is looked up in the tree.
+LETTER_GROUPS = ("aeiou", "tnsrhl")
 
 
 def _pattern(words: list[str]) -> str:
@@ -48,6 +50,40 @@ def _split(parts: list[tuple[str, str]]) -> str:
     return "|".join(f"(?=[{re.escape(g[0][0])}-{re.escape(g[-1][0])}])(?:{_split(g)})" for g in groups)
 
 
+def _class(chars: Iterable[str]) -> str:
+    return "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
+
+
+def _likely(words: list[str]) -> str:
+    """Pattern of all places where a keyword may start, by its first three characters.
+
+    Characters are only told apart by group, so most places of a text are rejected after
+    a few tests of small character classes; the tree asks far more of them.
+    """
+    def group(c: str) -> int:
+        return next((i for i, g in enumerate(LETTER_GROUPS) if c in g), len(LETTER_GROUPS))
+
+    narrow = [w for w in words if ord(w[0]) < 256]
+    groups: dict[int, dict[int, list[str]]] = {}
+    for w in narrow:
+        if len(w) > 2:
+            groups.setdefault(group(w[0]), {}).setdefault(group(w[1]), []).append(w)
+    parts = []
+    for _, by_second in sorted(groups.items(), reverse=True):
+        rest = [_class({w[1] for w in ws}) + _class({w[2] for w in ws}) for _, ws in sorted(by_second.items())]
+        parts.append(_class({w[0] for ws in by_second.values() for w in ws}) + f"(?:{'|'.join(rest)})")
+    parts += [re.escape(w) for w in narrow if len(w) < 3]
+    wide = sorted(w[0] for w in words if ord(w[0]) >= 256)
+    return "|".join(parts + ([f"[{wide[0]}-{wide[-1]}]"] if wide else []))
+
+
+def scan_pattern(words: list[str]) -> str:
+    """Pattern that captures the longest keyword at each place; matches may overlap."""
+    sides = [[w for w in words if (ord(w[0]) >= 256) == wide] for wide in (False, True)]
+    trees = "|".join(f"(?:{_pattern(side)})" for side in sides if side)
+    return f"(?={_likely(words)})(?=({trees}))"
+
+
 class KeywordIndex:
     """A set of keywords that are looked up together."""
 
@@ -75,7 +111,7 @@ class KeywordIndex:
         # the look-ahead lets matches overlap; at one position only the longest
         # keyword is found, its prefixes that are keywords are added afterwards
         found = F.array_distinct(
-            F.regexp_extract_all(text, F.lit(f"(?=({_pattern(self.keywords)}))"), F.lit(1))
+            F.regexp_extract_all(text, F.lit(scan_pattern(self.keywords)), F.lit(1))
         )
         if not self.inner:
             return found

@@ -18,15 +18,18 @@ SPACE = (
 # the same characters for trimming, which only looks at the ends of a text
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NON_KEY = r"[^0-9a-z\x{4e00}-\x{9fff}]+"
-# The same characters listed as ranges, for expressions (the pattern above stands in SQL too):
-# Java reads such a class several times faster than a negated one.
-NON_KEY_CHAR = r"[\x{0}-/:-`\x{7b}-\x{4dff}\x{a000}-\x{10ffff}]"
+# The same characters for expressions: Java looks those below 256 that are listed one by one up in a
+# table, and reads the others only where one comparison does not rule them out.
+_NON_KEY_LOW = "".join(f"\\x{{{i:x}}}" for i in range(256) if chr(i) not in "0123456789abcdefghijklmnopqrstuvwxyz")
+NON_KEY_CHAR = rf"[{_NON_KEY_LOW}[\x{{100}}-\x{{10ffff}}&&[\x{{100}}-\x{{4dff}}\x{{a000}}-\x{{10ffff}}]]]"
 # The characters of SPACE for expressions: Java looks characters below 256 that are listed one by one
 # up in a table, and the others only where one comparison does not rule them out.
 SPACE_CHAR = (
     r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x{85}\x{a0}"
     r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
 )
+# a run of them other than one plain space, which collapsing leaves as it is
+SPACE_RUN = f"{SPACE_CHAR}(?:(?<! )|(?={SPACE_CHAR})){SPACE_CHAR}*+"
 NUMBER = r"(\d+(?:\.\d+)?)"
 
 
@@ -73,7 +76,7 @@ def strip(c) -> Column:
 
 def collapse(c) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text_of(c), f"{SPACE_CHAR}++", " "))
+    return F.trim(F.regexp_replace(text_of(c), SPACE_RUN, " "))
 
 
 def normalize(c) -> Column:

@@ -18,9 +18,9 @@ from earshot.packs import reviews as VP
 DIMS = ("feature", "secondary_need", "need", "scene", "signal", "polarity", "intensity", "emotion", "aha")
 
 
-def label_counts(tagged: DataFrame) -> DataFrame:
-    """Rows and first sequence number per combination of labels."""
-    return tagged.groupBy(*DIMS).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
+def label_counts(tagged: DataFrame, dims=DIMS) -> DataFrame:
+    """Rows and first sequence number per combination of labels, of all or of those named."""
+    return tagged.groupBy(*dims).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
 
 
 def total(counts: DataFrame) -> Column:

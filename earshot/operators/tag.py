@@ -16,8 +16,22 @@ from earshot.packs import reviews as VP
 LAYER_COLUMNS = tuple(VP.TAG_HEADINGS)
 
 
-def comment_index(pack=VP) -> KeywordIndex:
-    """Keywords looked up in the comment (and in its context)."""
+# what the layers made of other layers are made of
+MADE_OF = {
+    "aha": ("aha_score",), "relation": ("aha_score",), "originality": ("_closed", "aha_score", "need"),
+    **dict.fromkeys(("persona", "place", "motivation", "chain"), ("scene", "feature", "need")),
+    **dict.fromkeys(("pain", "hint", "analysis"), ("signal", "feature", "need", "scene")),
+}
+
+
+def comment_index(pack=VP, layers=LAYER_COLUMNS) -> KeywordIndex:
+    """Keywords looked up in the comment (and in its context) for the ``layers``."""
+    own = {
+        "feature": keywords_of(pack.FEATURE_RULES), "scene": keywords_of(pack.SCENE_RULES),
+        "secondary_need": keywords_of(pack.FEATURE_RULES, *pack.SECONDARY_RULES.values()),
+    }
+    if set(layers) <= set(own):
+        return KeywordIndex(k for layer in layers for k in own[layer])
     words = keywords_of(
         pack.FEATURE_RULES, pack.NEED_RULES, pack.SCENE_RULES, *pack.SECONDARY_RULES.values()
     )
@@ -191,9 +205,9 @@ def opportunity(s: Column, f: Column, n: Column, sc: Column) -> dict[str, Column
 
 # ---- the whole row -----------------------------------------------------------------
 
-def with_hits(df: DataFrame, pack=VP) -> DataFrame:
-    """Add the normalised texts and the hit arrays the layers are decided on."""
-    index, sources = comment_index(pack), source_index(pack)
+def with_hits(df: DataFrame, pack=VP, layers=LAYER_COLUMNS) -> DataFrame:
+    """Add the normalised texts and the hit arrays the ``layers`` are decided on."""
+    index, sources = comment_index(pack, layers), source_index(pack)
     theme = T.normalize(F.concat_ws(" ", *[T.text_of(c) for c in ("source_primary_theme", "source_secondary_theme", "source_topic_labels")]))
     lead = T.normalize(F.concat_ws(" ", *[T.text_of(c) for c in (
         "source_primary_theme", "source_secondary_theme", "source_topic_labels", "product_name",
@@ -220,10 +234,13 @@ def with_hits(df: DataFrame, pack=VP) -> DataFrame:
     return d.withColumn("_context_hits", F.array_union("_hits", "_lead_hits"))
 
 
-def tag(df: DataFrame, pack=VP) -> DataFrame:
-    """All label layers for the valid rows of a cleaned review table."""
+def tag(df: DataFrame, pack=VP, layers=LAYER_COLUMNS) -> DataFrame:
+    """All label layers, or those named, for the valid rows of a cleaned review table.
+
+    Layers that are not named are not decided, and only keywords of the others are looked up.
+    """
     c = F.col
-    d = with_hits(df.filter("is_valid"), pack)
+    d = with_hits(df.filter("is_valid"), pack, layers)
     d = d.select(
         "*",
         viewpoint(c("_hits"), c("_key_length"), c("_rating"), pack).alias("viewpoint"),
@@ -254,17 +271,18 @@ def tag(df: DataFrame, pack=VP) -> DataFrame:
         ).alias("aha_score"),
         ranking_score(c("viewpoint"), c("polarity"), c("intensity"), c("_images"), c("_key_length"), pack).alias("rank_score"),
     )
-    d = border(d, [n for n in d.columns if n not in df.columns])
+    needed = {*layers, *(n for layer in layers for n in MADE_OF.get(layer, ()))}
+    d = border(d, [n for n in d.columns if n not in df.columns and n in needed])
     score = c("aha_score")
     texts = scene_card(c("scene"), c("feature"), c("need"), pack) | opportunity(c("signal"), c("feature"), c("need"), c("scene"))
-    d = d.withColumns({
+    made = {
         "aha": F.when(score >= 4, "是").otherwise("否"),
         "relation": F.when(score >= 6, "高").when(score >= 4, "中").otherwise("低"),
         "originality": F.when(c("_closed"), "低").when((score >= 7) | c("need").isin(*pack.ORIGINAL_NEEDS), "高")
         .when(score >= 4, "中").otherwise("低"),
         **texts, "analysis": F.concat_ws(" ", texts["pain"], texts["hint"]),
-    })
-    return d.select(*df.columns, *LAYER_COLUMNS)
+    }
+    return d.withColumns({n: e for n, e in made.items() if n in layers}).select(*df.columns, *layers)
 
 
 def tag_contract(tagged: DataFrame, pack=VP) -> DataFrame:

@@ -34,8 +34,9 @@ def cleaned(spark, d):
     return CL.clean_reviews(B.reviews(spark, d))
 
 
-def tagged(spark, d):
-    return TG.tag(cleaned(spark, d))
+def tagged(spark, d, *layers):
+    """The tagged table with all layers, or with those a query reads."""
+    return TG.tag(cleaned(spark, d), layers=layers or TG.LAYER_COLUMNS)
 
 
 def stored(spark, d, *columns):
@@ -47,9 +48,10 @@ def quotable(spark, d):
     return settle(C.quotable(tagged(spark, d)))
 
 
-def counts(spark, d):
-    """Settled: it is small, and several parts of a report read it."""
-    return settle(C.label_counts(tagged(spark, d)))
+def counts(spark, d, *dims):
+    """Settled: it is small, and several parts of a report read it.  ``dims`` are the labels read, all unless named."""
+    dims = dims or C.DIMS
+    return settle(C.label_counts(tagged(spark, d, *dims), dims))
 
 
 # ---- inputs in SQL -----------------------------------------------------------------
@@ -219,7 +221,7 @@ def _(spark, d):
 def _layer(name: str, *columns: str):
     @query(name, TAGGED + f" SELECT record_id, {', '.join(columns)} FROM tagged")
     def run(spark, d):
-        return tagged(spark, d).select("record_id", *columns)
+        return tagged(spark, d, *columns).select("record_id", *columns)
 
 
 _layer("tag_viewpoint", "viewpoint")
@@ -258,7 +260,7 @@ def _(spark, d):
 def _pair(name: str, a: str, b: str):
     @query(name, TAGGED + f" SELECT {a}, {b}, count(*) AS n, count(*) / {TOTAL} AS share FROM tagged GROUP BY {a}, {b}")
     def run(spark, d):
-        c = counts(spark, d)
+        c = counts(spark, d, a, b)
         return C.with_share(C.fold(c, a, b), c).select(a, b, "n", "share")
 
 
@@ -268,7 +270,7 @@ _pair("count_feature_scene", "feature", "scene")
 
 @query("share_feature_viewpoint", TAGGED + f" SELECT feature, viewpoint, count(*) AS n, count(*) / {TOTAL} AS share FROM tagged GROUP BY feature, viewpoint")
 def feature_viewpoint(spark, d):
-    t = settle(tagged(spark, d).groupBy("feature", "viewpoint").agg(F.count(F.lit(1)).alias("n")))
+    t = settle(tagged(spark, d, "feature", "viewpoint").groupBy("feature", "viewpoint").agg(F.count(F.lit(1)).alias("n")))
     return t.withColumn("share", F.col("n") / t.agg(F.sum("n")).scalar())
 
 
@@ -298,7 +300,7 @@ def _(spark, d):
 def _top12(name: str, block: str, child: str):
     @query(name, _BLOCK_SQL + f" SELECT parent AS feature, name AS {child}, n, n / {TOTAL} AS share FROM blocks WHERE block = '{block}' ORDER BY n DESC, first_ord LIMIT 12")
     def run(spark, d):
-        c = counts(spark, d)
+        c = counts(spark, d, "feature", child)
         return C.with_share(C.top(C.fold(c, "feature", child), 12), c).select("feature", child, "n", "share")
 
 
@@ -309,7 +311,7 @@ _top12("top12_feature_scene", "feature_scene", "scene")
 @query("feature_listing", TAGGED + f""" SELECT feature, secondary_need, count(*) AS n, count(*) / {TOTAL} AS share,
   CAST(sum(count(*)) OVER (PARTITION BY feature) AS BIGINT) AS parent_n FROM tagged GROUP BY feature, secondary_need""")
 def _(spark, d):
-    return R.feature_listing(counts(spark, d))
+    return R.feature_listing(counts(spark, d, "feature", "secondary_need"))
 
 
 @query("chart_series", _BLOCK_SQL + f""" SELECT block, rank, name, n, n / {TOTAL} AS share FROM
@@ -332,7 +334,7 @@ def _matrix(name: str, dim: str, limit: int, rows: int | None):
   SELECT names.{dim}, top.emotion, CAST(top.pos - 1 AS INTEGER) AS emotion_pos, coalesce(cells.n, 0) AS n
   FROM names JOIN top ON top.pos <= {limit} LEFT JOIN cells ON cells.{dim} = names.{dim} AND cells.emotion = top.emotion""")
     def run(spark, d):
-        return C.emotion_matrix(counts(spark, d), dim, limit, rows).select(dim, "emotion", "emotion_pos", "n")
+        return C.emotion_matrix(counts(spark, d, dim, "emotion", "polarity"), dim, limit, rows).select(dim, "emotion", "emotion_pos", "n")
 
 
 _matrix("emotion_matrix_feature", "feature", 8, None)

@@ -129,3 +129,33 @@ def test_narrative_counts_lost_rows_without_cleaning_again(spark):
     counts = C.label_counts(TG.tag(cleaned))
     old, new = R.narrative(counts, "f", CL.dropped(cleaned)), R.narrative(counts, "f", reviews=rows)
     assert old.collect() == new.collect() and new.first().raw_rows == 4
+
+
+def test_layers_asked_for_equal_those_of_the_whole_table_and_others_are_not_decided(spark):
+    cleaned = CL.clean_reviews(records(spark, CASES))
+    whole = TG.tag(cleaned)
+    for layers in (("scene",), ("feature", "secondary_need"), ("emotion", "polarity", "scene"), ("originality",), ("analysis", "chain")):
+        some = TG.tag(cleaned, layers=layers)
+        assert some.columns == [*cleaned.columns, *layers]
+        assert some.select("ord", *layers).orderBy("ord").collect() == whole.select("ord", *layers).orderBy("ord").collect()
+    plan = TG.tag(cleaned, layers=("scene",)).select("scene")._jdf.queryExecution().optimizedPlan().toString()
+    assert "疑似灌水" not in plan and "被噪音打断" not in plan
+    counts = C.label_counts(TG.tag(cleaned, layers=("feature",)), ("feature",))
+    assert sorted(map(tuple, counts.select("feature", "n").collect())) == [("场景", 1), ("音量", 2)]
+
+
+def test_reasons_are_decided_behind_the_spreading_and_not_again_for_kept_rows(spark):
+    rows = records(spark, [*CASES, (4, "", "", "ok", None, 0), (5, "", "", "No sound after a week; should add a remote!", 1.0, 0)])
+    cleaned = CL.clean_reviews(rows.repartition(3))
+    assert {r.ord: (r.drop_reason, r.is_valid) for r in cleaned.collect()} == {
+        1: ("", True), 2: ("", True), 3: ("", True), 4: ("low_information", False), 5: ("duplicate", False)}
+    plan = CL.kept(cleaned).select("ord", "cleaned_comment")._jdf.queryExecution().optimizedPlan().toString()
+    assert "logistics_or_seller_only" not in plan
+
+
+def test_places_without_keywords_are_left_early(spark):
+    for words in (TG.comment_index().keywords, TG.comment_index(layers=("scene",)).keywords, ["ab", "abc", "bcd", "9", "比", "比较", "x.y"]):
+        texts = [f"{a}{w}{b}" for w in words for a, b in (("", ""), ("x", "e "), ("比", "9"))]
+        index = KeywordIndex(words)
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", index.hits_by_scan(F.col("t")).alias("h")).collect()
+        assert all(set(r.h) == {k for k in words if k in r.t} for r in got)

@@ -126,6 +126,13 @@ def test_white_space_class_lists_the_same_characters(spark):
     assert "&&" in str(T.normalize("c"))
 
 
+def test_runs_of_white_space_are_replaced_and_single_spaces_left(spark):
+    gaps = ["", " ", "  ", "\t", " \t", "\n ", "\u3000", " \u00a0 ", "\u2003\u2003"]
+    texts = [f"{a}x{b}y{c}" for a in gaps for b in gaps for c in gaps[:4]]
+    assert values(spark, texts, T.collapse) == [" ".join(t.split()) for t in texts]
+    assert values(spark, ["a b c"], lambda c: F.size(F.regexp_extract_all(c, F.lit(f"({T.SPACE_RUN})"), F.lit(1)))) == [0]
+
+
 def test_key_length_reads_the_beginning_of_a_long_text(spark):
     texts = ["", "a b", "ab " * 30, "." * 500 + "x" * 79, "." * 500 + "x" * 90, "x" * 79 + "." * 900, "音" * 81]
     assert [min(n, 80) for n in values(spark, texts, lambda c: T.key_length(c, 80))] == [0, 2, 60, 79, 80, 79, 80]
