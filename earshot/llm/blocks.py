@@ -1,21 +1,37 @@
-"""Vectors packed into blocks, and the pairing of query blocks with data blocks.
+"""Vectors packed into blocks, and the grid in which query blocks meet data blocks.
 
-A block is one row holding up to `size` vectors as bytes, so a task compares two small matrices at a
-time.  Every query block meets every data block once: both sides are repeated over the other's block
-numbers and joined on the pair of numbers, which spreads evenly whatever the data look like.
+A block is one row holding vectors as bytes, so a task compares small matrices.  Blocks are dealt over
+strips of bounded size, and every strip of queries meets every strip of data once, in a cell of a grid: a
+query block is copied once per strip of data and a data block once per strip of queries.  Cells are groups
+of both sides, so copies go through the shuffle only; a join of them would be broadcast through the driver
+where the blocks alone look small, however many copies there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.llm.common import staged
 
+#: Most bytes of vectors in a block, and about as many in a strip, with OWN numbers more for each vector.
+BLOCK, STRIP, OWN = 1 << 21, 1 << 24, 16
+
+
+@dataclass
+class Blocks:
+    """block, ids, mat and further columns of `rows`; the number of blocks, and bytes of their vectors."""
+
+    rows: DataFrame
+    count: int
+    size: int
+
 
 def usable(vectors: DataFrame, key: str, column: str, zero: bool) -> DataFrame:
     """vec_id and vec (array<double>) of rows that take part; `zero` tells whether zero vectors do."""
@@ -38,8 +54,9 @@ def matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def packed(rows: DataFrame, width: int, size: int, name: str) -> DataFrame:
-    """block, ids, mat: rows in their order, `size` to a block; blocks of all partitions numbered from 0."""
+def packed(rows: DataFrame, width: int, most: int, name: str) -> Blocks:
+    """Rows in their order, at most `most` to a block; blocks of all partitions numbered from 0."""
+    size = max(1, min(most, BLOCK // (8 * max(width, 1))))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, mats, held = [], [], 0
@@ -58,12 +75,43 @@ def packed(rows: DataFrame, width: int, size: int, name: str) -> DataFrame:
     blocks = staged(rows.select("vec_id", "vec").mapInPandas(pack, "ids binary, mat binary").withColumn("at", F.monotonically_increasing_id()), name)
     # the upper bits of `at` are the partition, the lower 33 its own count: only counts of partitions are added up here
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    starts, total = [], 0
-    for row in blocks.groupBy(part.alias("part")).count().orderBy("part").collect():
+    starts, total, held = [], 0, 0
+    for row in blocks.groupBy(part.alias("part")).agg(F.count("*").alias("blocks"), F.sum(F.octet_length("ids")).alias("bytes")).orderBy("part").collect():
         starts += [F.lit(row["part"]), F.lit(total)]
-        total += row["count"]
+        total, held = total + row["blocks"], held + row["bytes"]
     number = F.create_map(*starts)[part] + place if starts else place
-    return blocks.select(number.cast("int").alias("block"), "ids", "mat")
+    return Blocks(blocks.select(number.cast("int").alias("block"), "ids", "mat"), total, held * (width + OWN))
+
+
+def grid(queries: Blocks, data: Blocks) -> tuple[int, int]:
+    """Numbers of strips of queries and of data: as few as their size allows, more where cores would wait."""
+    rows, columns = (max(1, -(-x.size // STRIP)) for x in (queries, data))
+    cells = 4 * data.rows.sparkSession.sparkContext.defaultParallelism
+    columns = max(columns, min(data.count, -(-cells // rows)))
+    return max(rows, min(queries.count, -(-cells // columns))), columns
+
+
+def unpacked(strip: pa.Table, width: int, *more: str) -> list[tuple[np.ndarray, ...]]:
+    """ids, mat and further columns of numbers of a strip's blocks, in their order."""
+    found = []
+    for at in np.argsort(strip["block"].to_numpy()):
+        ids, mat, *rest = (np.frombuffer(strip[c][at].as_buffer(), np.int64 if c == "ids" else float) for c in ("ids", "mat", *more))
+        found.append((ids, mat.reshape(len(ids), width), *rest))
+    return found
+
+
+def crossed(queries: DataFrame, data: DataFrame, strips: tuple[int, int], compare: Callable[[pa.Table, pa.Table], pa.Table], kind: str) -> DataFrame:
+    """Run `compare` on each pair of a strip of query blocks and a strip of data blocks."""
+    rows, columns = strips
+    left = queries.withColumn("row", F.col("block") % rows).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    right = data.withColumn("column", F.col("block") % columns).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(compare, kind)
+
+
+def answers(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.Table:
+    """Arrays query_id, vec_id, score of each query block as one table."""
+    names = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": kind}
+    return pa.table({n: pa.chunked_array([pa.array(f[i], t) for f in found], t) for i, (n, t) in enumerate(names.items())})
 
 
 def paired(queries: DataFrame, data: DataFrame) -> DataFrame:
@@ -76,7 +124,7 @@ def paired(queries: DataFrame, data: DataFrame) -> DataFrame:
 
 
 def best_of(found: DataFrame, k: int, order: Column) -> DataFrame:
-    """The `k` best rows of each query, numbered; blocks have already kept only their own `k` best."""
+    """The `k` best rows of each query, numbered; cells have already kept only their own `k` best."""
     ranked = Window.partitionBy("query_id").orderBy(order, F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -111,8 +111,8 @@ def top_inner_products(
 
     kind = "vec_id bigint, vec array<double>, length double"
     ints = rows.mapInPandas(floored, kind)
-    data = blocks.packed(ints.repartitionByRange(F.desc("length"), F.col("vec_id")).sortWithinPartitions(F.desc("length"), F.col("vec_id")), width, DATA_BLOCK, "products")
-    asked = blocks.packed(asked.mapInPandas(floored, kind), width, QUERY_BLOCK, "queries")
+    data = blocks.packed(ints.repartitionByRange(F.desc("length"), F.col("vec_id")).sortWithinPartitions(F.desc("length"), F.col("vec_id")), width, DATA_BLOCK, "products").rows
+    asked = blocks.packed(asked.mapInPandas(floored, kind), width, QUERY_BLOCK, "queries").rows
     # a start for every query: its k-th best among the vectors of the first block, which are the longest
     first = data.filter("block = 0")
 
