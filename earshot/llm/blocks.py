@@ -105,7 +105,10 @@ def crossed(queries: DataFrame, data: DataFrame, strips: tuple[int, int], compar
     rows, columns = strips
     left = queries.withColumn("row", F.col("block") % rows).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     right = data.withColumn("column", F.col("block") % columns).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(compare, kind)
+    # more tasks than cells, so that few cells share one; the planner would put cells together by their bytes, which do not tell what they cost
+    tasks = min(8 * rows * columns, 32 * data.sparkSession.sparkContext.defaultParallelism)
+    left, right = (x.repartition(tasks, "row", "column").groupBy("row", "column") for x in (left, right))
+    return left.cogroup(right).applyInArrow(compare, kind)
 
 
 def answers(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.Table:
@@ -114,33 +117,12 @@ def answers(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind: pa.Dat
     return pa.table({n: pa.chunked_array([pa.array(f[i], t) for f in found], t) for i, (n, t) in enumerate(names.items())})
 
 
-def paired(queries: DataFrame, data: DataFrame) -> DataFrame:
-    """q_ids, q_mat, ids, mat for each pair of a query block and a data block."""
-    n_queries, n_data = queries.count(), data.count()
-    left = queries.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
-    left = left.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(max(n_data - 1, 0)))))
-    right = data.withColumnRenamed("block", "d").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(n_queries - 1, 0)))))
-    return left.join(right, ["q", "d"])
-
-
 def best_of(found: DataFrame, k: int, order: Column) -> DataFrame:
     """The `k` best rows of each query, numbered; cells have already kept only their own `k` best."""
     ranked = Window.partitionBy("query_id").orderBy(order, F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(pairs: DataFrame, compare: Callable[..., tuple], kind: str, *columns: str) -> DataFrame:
-    """Run `compare(row)` on each pair of blocks; it returns arrays query_id, vec_id, score."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                q, v, s = compare(row)
-                yield pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
-
-    return pairs.mapInPandas(run, f"query_id bigint, vec_id bigint, score {kind}")
-
-
 def top(k: int, score: np.ndarray, vec_id: np.ndarray) -> np.ndarray:
     """Places of the `k` best, ties to the smaller id, best first."""
     if len(score) > k:
